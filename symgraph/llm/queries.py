@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from symgraph.core import table
-from symgraph.llm import canonical, contamination, fusion, tokens, topn
+from symgraph.llm import canonical, contamination, fusion, pairs, parseability, provenance, tokens, topn
 
 
 def p1_found(spark: SparkSession, d: str) -> DataFrame:
@@ -18,10 +18,35 @@ def p1_fused(spark: SparkSession, d: str) -> DataFrame:
     return fusion.fuse_search_results(table(spark, d, "search_results"))
 
 
+def p3_found(spark: SparkSession, d: str) -> DataFrame:
+    return parseability.invalid_files(table(spark, d, "nodes"), table(spark, d, "files")).select("file_path")
+
+
+def p3_rates(spark: SparkSession, d: str) -> DataFrame:
+    return parseability.invalid_rates(table(spark, d, "nodes"), table(spark, d, "files"))
+
+
+def p4_found(spark: SparkSession, d: str) -> DataFrame:
+    """Inherited documentation only points elsewhere, so only functions' own counts here."""
+    return pairs.documented_functions(table(spark, d, "nodes"), table(spark, d, "edges")).filter("levels = 0").select("id")
+
+
+def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
+    return pairs.documented_functions(table(spark, d, "nodes"), table(spark, d, "edges"))
+
+
 def p5_found(spark: SparkSession, d: str) -> DataFrame:
     return topn.top_nodes(table(spark, d, "nodes"))
 
 
+def p6_found(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.not_by_hand(table(spark, d, "nodes")).select("file_path")
+
+
+def p6_origins(spark: SparkSession, d: str) -> DataFrame:
+    return provenance.file_origins(table(spark, d, "nodes"))
+
+
 def p8_ids(spark: SparkSession, d: str) -> DataFrame:
     return tokens.encode_corpus(table(spark, d, "documents"))
 
@@ -40,8 +65,10 @@ def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p1_found, p1_fused, p5_found, p8_ids, p9_found, p10_found, p10_canonical)
-}
+    f.__name__: f for f in (
+        p1_found, p1_fused, p3_found, p3_rates, p4_found, p4_pairs, p5_found, p6_found, p6_origins, p8_ids, p9_found, p10_found, p10_canonical,
+    )
+}
 
 _FUSED = """
 WITH one AS (
