@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.core import cut_lineage
+
 # Letters of Cyrillic, Greek and Armenian script that look like a Latin letter.
 LOOK_ALIKE = {
     "А": "A", "В": "B", "Е": "E", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y",
@@ -115,7 +117,8 @@ def look_alike_pairs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     documents that hold them; equal copies are never compared with each other, so a text that a
     third of all documents repeat costs only the pairs that the result itself has.
     """
-    keys = canonical_keys(docs, id_col, text_col)
+    # written once: three joins below read the digests, none the texts again
+    keys = cut_lineage(canonical_keys(docs, id_col, text_col))
     texts = keys.select("same", "exact").distinct()
     several = texts.groupBy("same").agg(F.count("*").alias("n")).filter("n > 1").select("same")
     texts = texts.join(several, "same", "left_semi")
