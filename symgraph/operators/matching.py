@@ -193,3 +193,30 @@ def utility_tokens(names: DataFrame, tokens: DataFrame) -> DataFrame:
     u = n.select("name", ns.alias("ns"), value.alias("value")).filter("ns is not null and value <> ''")
     t = tokens.select(F.regexp_replace("name", "^--", "").alias("key"), "id").groupBy("key").agg(F.min("id").alias("token_id"))
     return u.withColumn("key", F.concat_ws("-", "ns", "value")).join(t, "key").select("name", "token_id")
+
+
+# The kinds of nodes that a link to another file may mean, best first.
+FAR_KINDS = {
+    "hook": "hook function", "component": "component class function", "provider": "provider variable constant", "service": "provider class", "model": "model class",
+    "view": "controller class function", "controller": "controller class", "event": "event class", "listener": "listener class", "router": "module variable", "blueprint": "module variable",
+    "dependency": "function class", "store": "module function", "module": "module class", "utility": "tailwind_utility css_class", "context": "provider constant",
+}
+
+
+def link_far(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Edges whose end is ``__unresolved__:kind:name`` with that end found by name, best kind and least id first.
+
+    A name ``Class@method`` is looked up by its class. Ends that no node answers stay as they are,
+    so dangling links can be counted. Edges between known nodes are kept.
+    """
+    order = [F.struct(F.lit(k).alias("far"), F.lit(kind).alias("kind"), F.lit(p).alias("p")) for k, v in FAR_KINDS.items() for p, kind in enumerate(v.split())]
+    dim = nodes.sparkSession.range(1).select(F.explode(F.array(*order)).alias("o")).select("o.*")
+    owners = nodes.join(F.broadcast(dim), "kind").groupBy("far", "name").agg(F.min(F.struct("p", "id"))["id"].alias("owner"))  # dim: a fixed table
+    out = edges
+    for end in ("source_id", "target_id"):
+        parts = F.split(end, ":", 3)
+        is_far = F.col(end).startswith("__unresolved__:")
+        name = F.substring_index(F.element_at(parts, 3), "@", 1)
+        out = out.withColumn("far", F.when(is_far, F.element_at(parts, 2))).withColumn("name", F.when(is_far, name))
+        out = out.join(owners, ["far", "name"], "left").withColumn(end, F.coalesce("owner", end)).drop("far", "name", "owner")
+    return out.select(*edges.columns)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 # The kinds of nodes.
 NODE_KINDS = (
@@ -35,16 +34,16 @@ RELEVANCE_WEIGHTS = {
 # Kinds that the summary's ranking leaves out.
 STYLE_KINDS = ["css_class", "css_id", "css_variable", "css_keyframes", "css_media_query", "css_layer", "css_font_face"]
 
-NODES = T.StructType.fromDDL(
+NODES = (
     "id string, kind string, name string, qualified_name string, file_path string, start_line int, end_line int, language string, docblock string, "
     "source_text string, content_hash string, metadata string, pagerank double, community_id int"
 )
-EDGES = T.StructType.fromDDL("source_id string, target_id string, kind string, confidence double, line_number int, metadata string")
-FILES = T.StructType.fromDDL(
+EDGES = "source_id string, target_id string, kind string, confidence double, line_number int, metadata string"
+FILES = (
     "file_path string, content_hash string, language string, plugin_name string, node_count int, edge_count int, parse_time_ms double, last_parsed timestamp"
 )
-REFS = T.StructType.fromDDL("source_node_id string, reference_name string, reference_kind string, line_number int, language string, context map<string,string>")
-ERRORS = T.StructType.fromDDL("file_path string, line_number int, message string, severity string, node_type string")
+REFS = "source_node_id string, reference_name string, reference_kind string, line_number int, language string, context map<string,string>"
+ERRORS = "file_path string, line_number int, message string, severity string, node_type string"
 
 
 def weight(kind: Column, weights: dict[str, float]) -> Column:
