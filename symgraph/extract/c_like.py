@@ -49,7 +49,7 @@ RULES = {
     ],
     "php": [
         _r("namespace", r"^namespace\s+(?P<name>[\w\\]+)"),
-        _r("class", rf"\bclass\s+{_W}\s*(?:extends|implements|\{{|$)", True),
+        _r("class", rf"\bclass\s+{_W}(?=\s*(?:extends|implements|\{{|$))", True),
         _r("interface", rf"^\s*interface\s+{_W}", True),
         _r("trait", rf"^\s*trait\s+{_W}", True),
         _r("enum", rf"^\s*enum\s+{_W}", True),

@@ -83,7 +83,8 @@ def session_log(events: DataFrame, late: str = "10 minutes") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(["event_id"])
 
 
-def windowed_counts(events: DataFrame, length: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    """(start, event_type, n, total) per tumbling window of event time."""
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def windowed_counts(events: DataFrame, length: str = "1 hour", late: str | None = "10 minutes") -> DataFrame:
+    """(start, event_type, n, total) per tumbling window of event time; ``late`` null keeps the watermark that events have."""
+    events = events.withWatermark("ts", late) if late else events
+    w = events.groupBy(F.window("ts", length).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("w.start").alias("start"), "event_type", "n", "total")
