@@ -117,41 +117,36 @@ def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> Data
 def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
     """(id, component): strongly connected components by forward and backward colouring.
 
-    Nodes without an edge in or out are peeled first (they stand alone). Then each round gives
-    every node the least id that reaches it (its colour); the nodes of a colour that reach its
-    root back are one component and leave.
+    Only the cyclic core can hold components of several nodes. Each round gives every node of the
+    core the least id that reaches it (its colour); the nodes of a colour that reach its root back
+    are one component and leave, then the core shrinks again. All other nodes stand alone.
     """
-    left, pairs = cut_lineage(nodes.select("id").distinct()), cut_lineage(edges.filter("src <> dst").select("src", "dst").distinct())
-    done = None
+    pairs, done = edges.filter("src <> dst").select("src", "dst"), None
     for _ in range(max_rounds):
-        keep = pairs.select(F.col("src").alias("id")).intersect(pairs.select(F.col("dst").alias("id")))
-        alone = left.join(keep, "id", "left_anti").select("id", F.col("id").alias("component"))
-        found = alone
-        rest = left.join(keep, "id", "left_semi")
-        inner = pairs.join(rest.withColumnRenamed("id", "src"), "src", "left_semi").join(rest.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
-        if alone.isEmpty():
-            colour = cut_lineage(rest.select("id", F.col("id").alias("c")))
-            while True:
-                got = inner.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("g"))
-                new = cut_lineage(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("g", "c")).alias("c")))
-                if new.join(colour, ["id", "c"], "left_anti").isEmpty():
-                    break
-                colour = new
-            roots = cut_lineage(colour.filter("id = c"))
-            while True:
-                back = inner.join(roots.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c")
-                more = back.join(colour, ["id", "c"], "left_semi").distinct().join(roots, ["id", "c"], "left_anti")
-                if more.isEmpty():
-                    break
-                roots = cut_lineage(roots.unionByName(more))
-            found = roots.select("id", F.col("c").alias("component"))
-        found = cut_lineage(found)
-        done = found if done is None else cut_lineage(done.unionByName(found))
-        left = cut_lineage(left.join(found, "id", "left_anti"))
-        if left.isEmpty():
-            return done
-        pairs = cut_lineage(pairs.join(left.withColumnRenamed("id", "src"), "src", "left_semi").join(left.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst"))
-    raise RuntimeError(f"more than {max_rounds} rounds")
+        core = cyclic_core(pairs)
+        ids = core.select(F.col("src").alias("id")).distinct()
+        colour = cut_lineage(ids.select("id", F.col("id").alias("c")))
+        if colour.isEmpty():
+            break
+        while True:
+            got = core.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("g"))
+            new = cut_lineage(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("g", "c")).alias("c")))
+            if new.join(colour, ["id", "c"], "left_anti").isEmpty():
+                break
+            colour = new
+        found = cut_lineage(colour.filter("id = c"))
+        while True:
+            back = core.join(found.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
+            more = cut_lineage(back.join(colour, ["id", "c"], "left_semi").join(found, ["id", "c"], "left_anti"))
+            if more.isEmpty():
+                break
+            found = cut_lineage(found.unionByName(more))
+        done = found if done is None else done.unionByName(found)
+        pairs = core.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
+    else:
+        raise RuntimeError(f"more than {max_rounds} rounds")
+    n = nodes.select("id").distinct()
+    return n.select("id", F.col("id").alias("component")) if done is None else n.join(done, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
 def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:

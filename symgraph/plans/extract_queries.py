@@ -270,7 +270,7 @@ def st02_normalised_events(s, d):
     return changes.last_per_path(changes.accepted(changes.normalise_events(e)).filter("ts is not null")).groupBy("op").agg(F.count("*").alias("n"))
 
 
-@R.query("""WITH g AS (SELECT *, CASE WHEN seen_at - lag(seen_at) OVER (PARTITION BY file_path ORDER BY seen_at) < INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM file_scans WHERE seen_at IS NOT NULL),
+@R.query("""WITH g AS (SELECT *, CASE WHEN seen_at - lag(seen_at) OVER (PARTITION BY file_path ORDER BY seen_at) <= INTERVAL 1 DAY THEN 0 ELSE 1 END AS new FROM file_scans WHERE seen_at IS NOT NULL),
     i AS (SELECT *, sum(new) OVER (PARTITION BY file_path ORDER BY seen_at RANGE UNBOUNDED PRECEDING) AS k FROM g) SELECT file_path, count(*) AS changes, min(seen_at) AS first FROM i GROUP BY file_path, k""")
 def st01_debounced(s, d):
     from symgraph.streaming import changes
