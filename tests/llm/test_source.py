@@ -190,6 +190,7 @@ BY_TOOL = [
     ("r/src/x.js", "!function(a){a.b=[1,2]}(window);var q={a:1};" * 40),
     ("r/src/y.js", f"module.exports = '{BLOB}';\n"),
     ("r/src/z.go", "package d\n\nvar z = []int{\n" + "".join(f"\t{random.Random(k).randrange(99999)}, {random.Random(k + 500).randrange(99999)},\n" for k in range(60)) + "}\n"),
+    ("r/src/u.css", "".join(f'.duleguvahukk-{k} {{ background: url("data:image/png;base64,{BLOB[60 * k : 60 * k + 60]}"); }}\n' for k in range(8))),
     ("r/dist/a.js", '"use strict";\nObject.defineProperty(exports, "__esModule", { value: true });\n' + hand()),
 ]
 BY_HAND = [
@@ -201,6 +202,7 @@ BY_HAND = [
     ("r/b.py", "# Minified output is checked here.\n"),
     ("r/c.py", "# Copyright the r team. All rights reserved.\n"),
     ("r/d.js", "// accepted: " + " ".join(f"w{k}_x" for k in range(90)) + "\n" + hand()),
+    ("r/g.py", 'def f(a):\n    """Splits one node by index, because a nested edge must never be trimmed on the second attempt."""\n    b = c.get("narrow_index", 251)\n    return d + 552\n'),
     ("r/e.js", ""),
     ("r/f.js", None),
 ]
