@@ -53,6 +53,16 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` in at least as many partitions as there are cores, for work in Python that outweighs a shuffle.
+
+    Only an input of fewer scan tasks than cores (a small one, or one large row group) is shuffled;
+    a large one has more tasks than cores and stays where it lies.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     """One row per key: the first in ``order``, found by a partial aggregate.
 

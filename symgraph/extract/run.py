@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.core import spread
 from symgraph.extract import c_like, frameworks, python_source, styles  # noqa: F401  (they register themselves)
 from symgraph.extract.records import Found
 from symgraph.extract.registry import detectors_for, extractor_for
@@ -64,10 +65,10 @@ def _run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def extract(files: DataFrame) -> DataFrame:
     """(file_path, language, nodes, edges, refs, errors) of texts (file_path, text, language).
 
-    Files are independent, so nothing is shuffled; null texts give no row. What a file holds stays
+    Files are independent, so nothing but a too small input is shuffled; null texts give no row. What a file holds stays
     in its row until the parts are exploded.
     """
-    return files.filter("text is not null").select("file_path", "text", "language").mapInArrow(_run, SCHEMA)
+    return spread(files.filter("text is not null").select("file_path", "text", "language")).mapInArrow(_run, SCHEMA)
 
 
 def nodes_of(extracted: DataFrame) -> DataFrame:
