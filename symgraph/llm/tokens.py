@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.core import spread
+
 NO_RANK = 1 << 31
 SHORT = 96  # bytes of a word up to which the array is scanned; longer words use a heap over the same merges
 CACHE_WORDS = 1 << 17
@@ -104,7 +106,7 @@ def encode_corpus(docs: DataFrame, rank_file: str | None = None, pattern: str |
     """(id, ids): the token ids of every text, without special tokens; null and empty texts give [].
 
     The rank table (of the tokenizer, some 50,000 entries whatever the corpus) is broadcast; the
-    texts are read, encoded and returned partition by partition, with no shuffle. A text of any
+    texts are read, encoded and returned partition by partition, with no shuffle unless there are fewer partitions than cores. A text of any
     length is encoded whole.
     """
     if rank_file is None or pattern is None:
@@ -119,5 +121,5 @@ def encode_corpus(docs: DataFrame, rank_file: str | None = None, pattern: str |
                 ids = pa.array([enc.encode(t) if t else [] for t in part.column(1).to_pylist()], pa.list_(pa.int32()))
                 yield pa.RecordBatch.from_arrays([part.column(0), ids], [id_col, "ids"])
 
-    src = docs.select(F.col(id_col), F.col(text_col))
+    src = spread(docs.select(F.col(id_col), F.col(text_col)))
     return src.mapInArrow(run, f"`{id_col}` {src.schema[0].dataType.simpleString()}, ids array<int>")
