@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from symgraph.core import spread
 from symgraph.llm.canonical import LOOK_ALIKE
 
 NGRAM = 5  # a passage of 15 words or more with one word in ten changed has six in a row unchanged
@@ -149,6 +150,7 @@ def leaked_passages(docs: DataFrame, items: DataFrame, block_chars: int = BLOCK_
     total = it.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = max(1, -(-int(total) // block_chars))
     src = docs.select(F.col(id_col).alias("doc"), F.col(text_col).alias("text")).filter("text is not null")
+    src = spread(src)
     dk, ik = src.schema["doc"].dataType.simpleString(), it.schema["item"].dataType.simpleString()
     schema = f"`{id_col}` {dk}, `{item_col}` {ik}, first_word int, end_word int"
     out = None
