@@ -7,12 +7,16 @@ come to the driver. Hub nodes are combined on the map side or spread over salts.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.core import cut_lineage
 
 SALTS = 16
+SOURCE_BLOCKS = 24
+WORKER_PAIRS = 8_000_000  # pairs that a Python worker holds, some 100 bytes each
 
 
 def reach(seeds: DataFrame, edges: DataFrame, max_depth: int, both: bool = False) -> DataFrame:
@@ -265,31 +269,77 @@ def induced(ids: DataFrame, edges: DataFrame) -> DataFrame:
     return edges.join(i.withColumnRenamed("id", "src"), "src", "left_semi").join(i.withColumnRenamed("id", "dst"), "dst", "left_semi").select("src", "dst")
 
 
-def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, max_depth: int = 64) -> DataFrame:
-    """(id, betweenness): Brandes' dependencies summed over the paths from ``sources``, unnormalised.
+def betweenness(nodes: DataFrame, edges: DataFrame, sources: DataFrame, in_worker: int = WORKER_PAIRS) -> DataFrame:
+    """(id, betweenness): Brandes' dependencies summed over all shortest paths from ``sources``, unnormalised.
 
-    For every source at once: breadth-first levels with path counts, then dependencies level by
-    level back. State is one row per (source, reached node), all in tables; a sample of sources
-    (a parameter, seeded by the caller) bounds it as on any graph too large for all pairs.
+    Paths have any length. A graph of at most ``in_worker`` pairs is shuffled to blocks of sources,
+    which are walked one by one in a Python worker; a larger one is walked for all sources at once
+    in tables, one row per (source, reached node). Both give the same scores.
     """
     e = cut_lineage(edges.filter("src <> dst").select("src", "dst").distinct())
-    level = cut_lineage(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths"), F.lit(0).alias("depth")))
+    if e.count() <= in_worker:
+        scores = _dependencies_in_blocks(nodes, e, sources)
+    else:
+        scores = _dependencies_in_tables(e, sources)
+    return nodes.select("id").join(scores, "id", "left").fillna(0.0, ["betweenness"])
+
+
+def _dependencies_in_blocks(nodes: DataFrame, e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, betweenness) of nodes on paths: each block of sources with the whole graph, as numbers, in one task."""
+    ids = cut_lineage(nodes.select("id").distinct().withColumn("n", F.monotonically_increasing_id()))
+    pairs = e.join(ids.select(F.col("id").alias("src"), F.col("n").alias("a")), "src").join(ids.select(F.col("id").alias("dst"), F.col("n").alias("b")), "dst").select("a", "b")
+    pairs = pairs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(SOURCE_BLOCKS - 1))))
+    blocks = sources.select("id").join(ids, "id").select("n", F.pmod(F.xxhash64("n"), F.lit(SOURCE_BLOCKS)).cast("int").alias("block"))
+    parts = blocks.groupBy("block").cogroup(pairs.groupBy("block")).applyInArrow(_block_dependencies, "n bigint, dep double")
+    return parts.groupBy("n").agg(F.sum("dep").alias("betweenness")).join(ids, "n").select("id", "betweenness")
+
+
+def _block_dependencies(sources: pa.Table, pairs: pa.Table) -> pa.Table:
+    """(n, dep): Brandes' dependencies of the nodes (n) of pairs (a, b), summed over a block of sources (n)."""
+    a, b = pairs["a"].to_numpy(), pairs["b"].to_numpy()
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    tail, head = ends[: len(a)], ends[len(a) :]
+    head = head[np.argsort(tail, kind="stable")]
+    first = np.concatenate([[0], np.cumsum(np.bincount(tail, minlength=len(names)))])
+    total, stamp = np.zeros(len(names)), np.zeros(len(names), np.int64)
+    for s in np.flatnonzero(np.isin(names, sources["n"].to_numpy())):
+        met, paths, dep = np.zeros(len(names), bool), np.zeros(len(names)), np.zeros(len(names))
+        met[s], paths[s], levels, near = True, 1.0, [], np.array([s])
+        while len(near):
+            n = first[near + 1] - first[near]
+            u = np.repeat(near, n)
+            v = head[np.repeat(first[near] - np.cumsum(n) + n, n) + np.arange(n.sum())]
+            new = ~met[v]
+            u, v = u[new], v[new]
+            np.add.at(paths, v, paths[u])
+            levels.append((u, v))
+            stamp[v] = k = np.arange(len(v))
+            near = v[stamp[v] == k]
+            met[near] = True
+        for u, v in reversed(levels):
+            np.add.at(dep, u, paths[u] / paths[v] * (1 + dep[v]))
+        dep[s] = 0
+        total += dep
+    on = np.flatnonzero(total)
+    return pa.table({"n": names[on], "dep": total[on]})
+
+
+def _dependencies_in_tables(e: DataFrame, sources: DataFrame) -> DataFrame:
+    """(id, betweenness) of nodes on paths: levels with path counts, then dependencies level by level back."""
+    level = cut_lineage(sources.select(F.col("id").alias("s"), F.col("id").alias("v"), F.lit(1.0).alias("paths")))
     seen, levels = level, [level]
-    for depth in range(1, max_depth + 1):
+    while True:
         step = level.join(e.withColumnRenamed("src", "v"), "v").groupBy("s", F.col("dst").alias("v")).agg(F.sum("paths").alias("paths"))
-        level = cut_lineage(step.join(seen.select("s", "v"), ["s", "v"], "left_anti").withColumn("depth", F.lit(depth)))
+        level = cut_lineage(step.join(seen.select("s", "v"), ["s", "v"], "left_anti"))
         if level.isEmpty():
             break
         levels.append(level)
-        seen = cut_lineage(seen.unionByName(level))
+        seen = seen.unionByName(level)
     deeper = levels[-1].select("s", "v", "paths", F.lit(0.0).alias("dep"))
-    total = None
+    total = deeper.limit(0).select("v", "dep")
     for level in reversed(levels[:-1]):
         share = e.withColumnRenamed("dst", "v").join(deeper, "v").select("s", F.col("src").alias("u"), ((1 + F.col("dep")) / F.col("paths")).alias("q"))
         share = share.groupBy("s", F.col("u").alias("v")).agg(F.sum("q").alias("q"))
         deeper = cut_lineage(level.join(share, ["s", "v"], "left").select("s", "v", "paths", F.coalesce(F.col("paths") * F.col("q"), F.lit(0.0)).alias("dep")))
-        part = deeper.filter("s <> v").select("v", "dep")
-        total = part if total is None else total.unionByName(part)
-    scores = total.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("betweenness")) if total is not None else None
-    n = nodes.select("id")
-    return n.withColumn("betweenness", F.lit(0.0)) if scores is None else n.join(scores, "id", "left").fillna(0.0, ["betweenness"])
+        total = total.unionByName(deeper.filter("s <> v").select("v", "dep"))
+    return total.groupBy(F.col("v").alias("id")).agg(F.sum("dep").alias("betweenness"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from symgraph.core import table
+from symgraph.core import cut_lineage, table
 from symgraph.operators import graph, store
 from symgraph.plans.registry import E, G, N, Registry
 
@@ -137,12 +137,24 @@ def gr06_modularity(s, d):
     return graph.modularity(g, graph.communities(n, g))
 
 
+def _betweenness(n, g, exact: int = 10_000, k: int = 500):
+    """(id, betweenness) from all sources up to ``exact`` nodes, from ``k`` seeded ones above; normalised.
+
+    Scores are divided by the (n - 1)(n - 2) ordered pairs of other nodes; those of a sample are
+    multiplied by n / k, which estimates the scores from all sources.
+    """
+    n = cut_lineage(n.select("id").distinct())
+    count = n.count()
+    sources = n if count <= exact else n.orderBy(F.xxhash64("id", F.lit(7)), "id").limit(k)
+    scale = count / min(count, k) if count > exact else 1.0
+    if count > 2:
+        scale /= (count - 1) * (count - 2)
+    return graph.betweenness(n, g, sources).select("id", (F.col("betweenness") * scale).alias("betweenness"))
+
+
 @R.query()
 def gr05_betweenness(s, d):
-    """From a bounded, seeded sample of sources, as on any graph too large for all pairs."""
-    n, g = _graph(s, d)
-    sample = n.orderBy(F.xxhash64("id", F.lit(7))).limit(20)
-    return graph.betweenness(n, g, sample, 6)
+    return _betweenness(*_graph(s, d))
 
 
 @R.query(f"""WITH RECURSIVE {G}, {_SEED}, far AS (SELECT max(src) AS id FROM g), w(id, depth) AS (SELECT id, 0 FROM far UNION SELECT dst, depth + 1 FROM w JOIN g ON src = id WHERE depth < 8)

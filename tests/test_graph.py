@@ -100,3 +100,46 @@ def test_empty_graph(spark):
     assert graph.communities(nodes, edges).count() == 0
     assert graph.reach(nodes.limit(0), edges, 3).count() == 0
     assert graph.statistics(nodes, edges).select(F.col("density")).first()[0] == 0.0
+
+
+def brandes(n, edges, sources):
+    out = {v: [b for a, b in edges if a == v and b != v] for v in n}
+    score = dict.fromkeys(n, 0.0)
+    for s in sources:
+        order, depth, paths, dep = [s], {s: 0}, {s: 1}, dict.fromkeys(n, 0.0)
+        for v in order:
+            for w in out[v]:
+                if w not in depth:
+                    depth[w], paths[w] = depth[v] + 1, 0
+                    order.append(w)
+                if depth[w] == depth[v] + 1:
+                    paths[w] += paths[v]
+        for v in reversed(order):
+            for w in out[v]:
+                if depth[w] == depth[v] + 1:
+                    dep[v] += paths[v] / paths[w] * (1 + dep[w])
+            if v != s:
+                score[v] += dep[v]
+    return score
+
+
+@pytest.mark.parametrize("in_worker", [0, 10**6])
+def test_betweenness_of_paths_of_any_length(spark, in_worker):
+    n, e = sample(5, 14, 30)
+    n, e = n + [f"w{k}" for k in range(9)], e + [("v00", "w0")] + [(f"w{k}", f"w{k + 1}") for k in range(8)]
+    nodes, edges = frames(spark, n, e)
+    for sources in (n, n[:5]):
+        want = brandes(n, e, sources)
+        got = {r.id: r.betweenness for r in graph.betweenness(nodes, edges, nodes.filter(F.col("id").isin(sources)), in_worker).collect()}
+        assert got == pytest.approx(want)
+
+
+def test_betweenness_query_takes_all_sources_and_depths(spark):
+    from symgraph.plans.graph_queries import _betweenness
+
+    n = [f"c{k:02d}" for k in range(30)]
+    nodes, edges = frames(spark, n, list(zip(n, n[1:])))
+    got = {r.id: r.betweenness for r in _betweenness(nodes, edges).collect()}
+    assert got == pytest.approx({v: k * (29 - k) / (29 * 28) for k, v in enumerate(n)})
+    some = {r.id: r.betweenness for r in _betweenness(nodes, edges, exact=10, k=6).collect()}
+    assert sum(v > 0 for v in some.values()) > 6
