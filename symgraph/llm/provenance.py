@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -17,6 +18,7 @@ HEAD_LINES, TAIL_LINES = 20, 5  # where a mark of origin stands
 MINIFIED_LINE, MINIFIED_REUSE = 180, 0.5
 BLOB_SHARE, BLOB_UNITS, BLOB_RATIO = 0.5, 24, 0.9
 GENERATED_STATEMENTS, GENERATED_REUSE = 400, 0.985
+REPEATED_RUNS, REPEATED_REUSE, REPEATED_SIZE = 16, 0.85, 0.5
 SHARED_STATEMENTS, SHARED_CHARS, SHARED_PART = 6, 240, 0.5
 PROSE = 20
 CHUNK = 4  # characters of a string literal that count as one unit
@@ -39,6 +41,18 @@ _MARKS = re.compile(
     r"|автоматически (?:создан|сгенерирован)|(?:создан|сгенерирован)\w* автоматически|自動生成|自动生成|^\W*source: \S+\.(?:proto|thrift|graphql|avsc|idl|fbs|yang|asn1?)\b",
     re.I | re.M,
 )
+# Of these, what speaks of a whole file wherever it stands ("generated by" inside code may speak of a value).
+_STATED = re.compile(
+    r"@generated\b|<auto-?generated|\bcode generated (?:by|from|with|using)\b|\bcode generated\b[^\n]{0,80}\bdo not (?:edit|modify|change)\b"
+    r"|\bthis (?:file|code|source) (?:is|was|has been) (?:auto\w*[- ])?generated\b|\bauto(?:matically)?[- ]?generated\b[^\n]{0,80}\bdo not (?:edit|modify|change)\b",
+    re.I,
+)
+_OPENING = re.compile(r"\A(?:\s+|\ufeff|<\?php\b|#![^\n]*|/\*[\s\S]*?(?:\*/|$)|//[^\n]*|#(?!\[|include)[^\n]*|--[^\n]*|<!--[\s\S]*?(?:-->|$)|[\"']use strict[\"'];?)*")
+# Comments (the group) and, passed over, strings.
+_TOLD = re.compile(
+    r"((?m:^[ \t]*)(?:\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3})|/\*[\s\S]*?(?:\*/|$)|<!--[\s\S]*?(?:-->|$)|(?://|#|(?m:^[ \t]*)--)[^\n]*)"
+    r"|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`"
+)
 _COMPILED = re.compile(r"Object\.defineProperty\(exports, ?[\"']__esModule[\"']|__webpack_require__|_interopRequire(?:Default|Wildcard)\(|\bSystem\.register\(\[|\(0, _\w+\.default\)")
 _SOURCE_MAP = re.compile(r"[#@] ?source(?:Mapping)?URL=")
 _LICENCE = re.compile(r"\blicen[sc]e[ds]?\b|\bcopyright\b|\(c\)|©|\ball rights reserved\b", re.I)
@@ -148,19 +162,36 @@ def numbered(items: list[str]) -> list[int]:
     return [ids.setdefault(x, len(ids)) for x in items]
 
 
+def repetitive(shapes: list[int]) -> bool:
+    """Whether rules stand for so much of a text's statements that a tool must have written them.
+
+    Runs of one shape (lists, tables of constants) count once. What rules and rest take must be
+    within what a repeated block takes, a bound that grows with the logarithm of the length; it
+    is never over half of the text, which no short text by hand comes near.
+    """
+    runs = [s for k, s in enumerate(shapes) if not k or s != shapes[k - 1]]
+    n = len(runs)
+    if n >= REPEATED_RUNS:
+        rules, rest = re_pair(runs)
+        if 2 * len(rules) + len(rest) <= min(REPEATED_SIZE * n, 6 + 4 * math.log2(n)) and covered(rules, rest) >= REPEATED_REUSE:
+            return True
+    return len(shapes) >= GENERATED_STATEMENTS and len(set(shapes)) * 50 < len(shapes) and covered(*re_pair(shapes)) >= GENERATED_REUSE
+
+
 def origin(path: str | None, text: str) -> str | None:
     """generated, compiled, minified, vendored or data for a file not written by hand here, else null.
 
     Marks come first (folder, name, stated origin); then the grammars: literals that take up most
     of a text and that no rule shortens are data, long lines whose statement shapes repeat are
-    minified, a long text almost wholly covered by rules is generated.
+    minified, a text of any length that rules make short is generated.
     """
     path = path or ""
     if _FOLDERS.search(path) or _VERSIONED.search(path):
         return "vendored"
     lines = text.split("\n")
     head = "\n".join(x for x in lines[:HEAD_LINES] if len(x) < 400 and (_COMMENT_LINE.match(x)))
-    if head:
+    head += "\n" + _OPENING.match(text)[0]
+    if head.strip():
         repo = path.split("/", 1)[0].lower()
         if _LICENCE.search(head):
             names = {g.lower() for m in _PROJECT.finditer(head) for g in m.groups() if g}
@@ -168,6 +199,8 @@ def origin(path: str | None, text: str) -> str | None:
                 return "vendored"
         if _MARKS.search(head):
             return "generated"
+    if _STATED.search(text) and any(m[1] and _STATED.search(m[1]) for m in _TOLD.finditer(text)):
+        return "generated"
     if _NAMES.search(path):
         return "minified" if ".min." in path.lower() else "generated"
     if not text.strip():
@@ -180,19 +213,13 @@ def origin(path: str | None, text: str) -> str | None:
         _, rest = re_pair(numbered(units))
         if len(rest) >= BLOB_RATIO * len(units):
             return "data"
-    longest = max(map(len, lines))
-    if longest > MINIFIED_LINE or len(lines) > GENERATED_STATEMENTS:
-        parts = statements(text)
+    parts = statements(text)
+    shapes = numbered([_WORD.sub("w", _LITERAL.sub("0", p)) for p in parts])
+    if max(map(len, lines)) > MINIFIED_LINE:
         code_lines = max(1, sum(1 for x in _COMMENTS.sub("", text).split("\n") if x.strip()))
-        dense = sum(map(len, parts)) / code_lines
-        if dense > MINIFIED_LINE or len(parts) >= GENERATED_STATEMENTS:
-            shapes = numbered([_WORD.sub("w", _LITERAL.sub("0", p)) for p in parts])
-            reuse = covered(*re_pair(shapes))
-            if dense > MINIFIED_LINE and (reuse >= MINIFIED_REUSE or len(parts) > code_lines * 6):
-                return "minified"
-            if len(parts) >= GENERATED_STATEMENTS and reuse >= GENERATED_REUSE and len(set(shapes)) * 50 < len(shapes):
-                return "generated"
-    return None
+        if sum(map(len, parts)) / code_lines > MINIFIED_LINE and (len(parts) > code_lines * 6 or covered(*re_pair(shapes)) >= MINIFIED_REUSE):
+            return "minified"
+    return "generated" if repetitive(shapes) else None
 
 
 def shared_rules(text: str) -> list[tuple[int, int]]:

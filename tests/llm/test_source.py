@@ -237,3 +237,34 @@ def test_copies_across_repositories(spark):
     nodes = spark.createDataFrame([file("r/a.js", "javascript", "const own = 1;\n" + body), file("s/b.js", "javascript", body), file("r/c.js", "javascript", hand(99)), file("r/c.js", "javascript", hand(99)), file(None, "go", "x")], NODES)
     assert rows(provenance.not_by_hand(nodes)) == [("r/a.js", "copied"), ("s/b.js", "copied")]
     assert provenance.not_by_hand(nodes.limit(0)).count() == 0
+
+
+_LICENCE_LINES = "".join(f"// Line {k} of the terms.\n" for k in range(30))
+_FIELDS = "".join(f"func (m *M) Get{k}() int {{\n\tif m == nil {{\n\t\treturn 0\n\t}}\n\treturn m.f{k}\n}}\n" for k in range(12))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        _LICENCE_LINES + "// Code generated by tool v1. DO NOT EDIT.\n" + hand(),
+        "/*\n  Code generated by tool v1.\n*/\n" + hand(),
+        "// Code generated by tool v1 from " + "x" * 500 + "\n" + hand(),
+        hand() + "/* This file was generated by tool v1. */\n",
+        "package m\n\n" + _FIELDS,
+    ],
+)
+def test_stated_and_repeated_at_any_place_and_length(text):
+    assert provenance.origin("r/src/a.go", text) == "generated"
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        'print("// Code generated by tool v1. DO NOT EDIT.")\nx = 1\n',
+        hand() + 'T = """\n// Code generated by tool v1. DO NOT EDIT.\n"""\n',
+        hand() + "// ids are generated by the store\n",
+        "".join(f"export * from './m{k}';\n" for k in range(40)),
+    ],
+)
+def test_marks_in_strings_and_plain_lists_are_by_hand(text):
+    assert provenance.origin("r/src/a.py", text) is None
