@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import random
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -63,7 +64,15 @@ _PROJECT = re.compile(
 )
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\[|include|!)|/\*|\*|--|<!--|\"\"\"|''')")
 _COMMENTS = re.compile(r"/\*[\s\S]*?(?:\*/|$)|(?m:^[ \t]*(?://|#(?![\[\w]))[^\n]*$)")
-_LITERAL = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?<![\w#.])\d+(?:\.\d+)?(?![\w.])")
+_NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLnfF]{0,3}"
+_LITERAL = re.compile(
+    r"\"{3}(?:[^\\]|\\.)*?\"{3}|'{3}(?:[^\\]|\\.)*?'{3}|<<[<~-]?[\"']?(?P<end>[A-Za-z_]\w*)[\"']?[^\n]*\n[\s\S]*?\n[ \t]*(?P=end)\b"
+    rf"|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`|(?<![\w#.]){_NUMBER}(?![\w.])",
+    re.S,
+)
+# Parts of a string of separate numbers or hexadecimal digits, whose spaces are no prose.
+_CODE = re.compile(rf"{_NUMBER}|[\da-fA-F]{{2,8}}")
+_BETWEEN = re.compile(r"[\s,;:]+")
 _DATA_URI = re.compile(r"^data:[\w/+.-]*(?:;[\w=.-]+)*,")
 _WORD = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$]*")
 _BREAK = re.compile(r"(?<=[;{}])")
@@ -143,12 +152,20 @@ def literal_units(text: str) -> tuple[list[str], int]:
     units, chars = [], 0
     for m in _LITERAL.finditer(text):
         s = m[0]
-        if s[0] in "\"'`":
-            s = s[1:-1]
-            chars += len(s)
+        if s[0] in "\"'`<":
+            if m["end"]:
+                s = s[s.index("\n") + 1 : s.rindex("\n")]
+            else:
+                s = s[3:-3] if s[:3] in ('"' * 3, "'" * 3) and len(s) > 5 else s[1:-1]
+            codes = _BETWEEN.split(s.strip(" \t\r\n,;:"))
+            if len(codes) > 2 and all(_CODE.fullmatch(x) for x in codes):
+                units += codes
+                chars += sum(map(len, codes))
+                continue
             if s.count(" ") * PROSE > len(s):
-                chars -= len(s)
                 continue
+            s = "".join(s.split("\n"))
+            chars += len(s)
             s = _DATA_URI.sub("", s)
             units += [s[k : k + CHUNK] for k in range(0, len(s), CHUNK)]
         else:
@@ -157,6 +174,23 @@ def literal_units(text: str) -> tuple[list[str], int]:
     return units, chars
 
 
+def incompressible(units: list[str]) -> bool:
+    """Whether rules leave nearly as much of the units as of random ones, as many and of the same alphabet.
+
+    Pairs of few symbols repeat by chance alone, the more the longer the text, so the rest counts
+    against what chance leaves. One symbol says nothing.
+    """
+    ids = numbered(units)
+    size = max(ids, default=0) + 1
+    if size < 2:
+        return False
+    rest = len(re_pair(ids)[1])
+    if rest >= BLOB_RATIO * len(ids):
+        return True
+    r = random.Random(size)
+    return rest >= BLOB_RATIO * len(re_pair([r.randrange(size) for _ in ids])[1])
+
+
 def numbered(items: list[str]) -> list[int]:
     ids: dict[str, int] = {}
     return [ids.setdefault(x, len(ids)) for x in items]
@@ -210,8 +244,7 @@ def origin(path: str | None, text: str) -> str | None:
     units, chars = literal_units(text)
     visible = sum(map(len, text.split()))
     if len(units) >= BLOB_UNITS and chars >= BLOB_SHARE * visible:
-        _, rest = re_pair(numbered(units))
-        if len(rest) >= BLOB_RATIO * len(units):
+        if incompressible(units):
             return "data"
     parts = statements(text)
     shapes = numbered([_WORD.sub("w", _LITERAL.sub("0", p)) for p in parts])

@@ -268,3 +268,28 @@ def test_stated_and_repeated_at_any_place_and_length(text):
 )
 def test_marks_in_strings_and_plain_lists_are_by_hand(text):
     assert provenance.origin("r/src/a.py", text) is None
+
+
+_BYTES = [_R.randrange(256) for _ in range(6000)]
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "var t = [" + ",".join(map(str, _BYTES)) + "];\n",
+        "var t = [" + ",".join(str(x % 64) for x in _BYTES) + "];\n",
+        "package d\nvar t = []byte{\n" + "".join(f"\t0x{a:02x}, 0x{b:02x},\n" for a, b in zip(_BYTES[:90], _BYTES[90:180])) + "}\n",
+        "t = [" + ", ".join(f"{x}.5e-{x % 9}" for x in _BYTES[:90]) + "]\n",
+        'T = """\n' + "\n".join(BLOB[k : k + 60] for k in range(0, 900, 60)) + '\n"""\n',
+        "<?php\n$t = <<<EOT\n" + "\n".join(BLOB[k : k + 60] for k in range(0, 900, 60)) + "\nEOT;\n",
+        'var t = "' + " ".join(f"{x:02x}" for x in _BYTES[:300]) + '";\n',
+    ],
+)
+def test_data_of_any_length_and_form(text):
+    assert provenance.origin("r/src/a.x", text) == "data"
+
+
+def test_repeated_literals_are_no_data():
+    assert not provenance.incompressible([str(k % 7) for k in range(3000)])
+    assert not provenance.incompressible(["0"] * 300)
+    assert provenance.origin("r/a.py", 'T = """\nThe reader takes one line at a time and keeps the rest for the next call.\n"""\n' * 9) is None
