@@ -285,7 +285,7 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         why, rules, chars = [], [], []
         for path, text in zip(paths, texts):
             why.append(origin(path, text or ""))
-            found = shared_rules(text) if text and why[-1] is None else []
+            found = shared_rules(text) if text else []
             rules.append([{"rule": r, "chars": c} for r, c in found])
             chars.append(sum(map(len, statements(text))) if found else 0)
         yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string()), pa.array(chars, pa.int32()), pa.array(rules, kind)], ["file_path", "ingested_at", "origin", "chars", "rules"])
@@ -295,7 +295,8 @@ def file_origins(nodes: DataFrame) -> DataFrame:
     """(file_path, origin): every file, with null for what was written by hand here.
 
     Texts are read where they lie; only rule hashes are shuffled. Files half of whose text is
-    rules that other repositories' files have too are ``copied``. A rule of many files is spread
+    rules that other repositories' files have too are ``copied``; files that a mark has flagged offer
+    their rules too, so a copy without a mark meets its marked twin. A rule of many files is spread
     over ``SALTS`` tasks. A null or empty text is judged by its path alone; null paths give no
     row; of repeated deliveries the newest holds.
     """

@@ -293,3 +293,9 @@ def test_repeated_literals_are_no_data():
     assert not provenance.incompressible([str(k % 7) for k in range(3000)])
     assert not provenance.incompressible(["0"] * 300)
     assert provenance.origin("r/a.py", 'T = """\nThe reader takes one line at a time and keeps the rest for the next call.\n"""\n' * 9) is None
+
+
+def test_copy_of_a_file_that_is_marked_elsewhere(spark):
+    body = "".join(hand(k) for k in range(5))
+    nodes = spark.createDataFrame([file("r/src/a.js", "javascript", body), file("s/vendor/x/b.js", "javascript", body), file("r/c.js", "javascript", hand(99))], NODES)
+    assert rows(provenance.not_by_hand(nodes)) == [("r/src/a.js", "copied"), ("s/vendor/x/b.js", "vendored")]
