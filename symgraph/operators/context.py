@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -17,18 +20,33 @@ USAGE_KINDS = {
 }
 
 
-def fold_budget(rows: DataFrame, by: list[str], order: list[Column], tokens: str, item: str, budget: int, most: int = 200) -> DataFrame:
+def fold_budget(rows: DataFrame, by: list[str], order: list[Column], tokens: str, item: str, budget: int) -> DataFrame:
     """(by, item, place): items taken greedily in order while their tokens fit the budget; ones too large are passed over.
 
-    Only the first ``most`` items of a group are candidates (an answer is of bounded size), so
-    the array that is folded is bounded too.
+    Every item of a group is a candidate. A group's rows are sorted in one task, on disk if need
+    be, and folded as they stream by; only the tokens used and the next place are held.
     """
-    first = group_limit(rows.select(*by, item, tokens, *[o.alias(f"__o{k}") for k, o in enumerate(order)]), by, [F.col(f"__o{k}") for k in range(len(order))], most)
-    arr = F.sort_array(F.collect_list(F.struct(*[F.col(f"__o{k}") for k in range(len(order))], F.col(tokens).cast("long").alias("t"), F.col(item).alias("i")))).alias("a")
-    start = F.struct(F.lit(0).cast("long").alias("used"), F.array().cast(f"array<{first.schema[item].dataType.simpleString()}>").alias("kept"))
-    step = lambda s, x: F.when(s["used"] + x["t"] <= budget, F.struct((s["used"] + x["t"]).alias("used"), F.concat(s["kept"], F.array(x["i"])).alias("kept"))).otherwise(s)
-    folded = first.groupBy(*by).agg(arr).select(*by, F.aggregate("a", start, step)["kept"].alias("kept"))
-    return folded.select(*by, F.posexplode("kept").alias("place", item))
+    keys = [f"__o{k}" for k in range(len(order))]
+    r = rows.select(*by, F.col(item).alias("__i"), F.col(tokens).cast("long").alias("__t"), *[o.alias(k) for k, o in zip(keys, order)])
+    r = r.repartition(*by).sortWithinPartitions(*by, *keys, "__t", "__i").select(*by, "__i", "__t")
+    out = r.select(*by, F.lit(0).alias("place"), F.col("__i").alias(item))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, used, place = None, 0, 0
+        for b in batches:
+            took, places = [], []
+            groups = zip(*[b.column(k).to_pylist() for k in range(len(by))])
+            for k, (g, t) in enumerate(zip(groups, b.column(len(by) + 1).to_pylist())):
+                if g != group:
+                    group, used, place = g, 0, 0
+                if t is not None and used + t <= budget:
+                    took.append(k)
+                    places.append(place)
+                    used, place = used + t, place + 1
+            kept = b.take(pa.array(took, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*kept.columns[: len(by)], pa.array(places, pa.int32()), kept.column(len(by))], [*by, "place", item])
+
+    return r.mapInArrow(fold, out.schema)
 
 
 def impact(nodes: DataFrame, edges: DataFrame, seeds: DataFrame, max_depth: int = 3) -> DataFrame:

@@ -109,3 +109,10 @@ def test_scalars(spark):
     assert one(S.language_of(F.lit("x/y.blade.php"))) == "php" and one(S.language_of(F.lit("README"))) is None
     ignored = S.glob_to_regex(["**/node_modules/**", "**/*.min.js"])
     assert [one(F.lit(p).rlike(ignored)) for p in ("a/node_modules/x.js", "node_modules/x.js", "b/c.min.js", "src/minor.js")] == [True, True, True, False]
+
+
+def test_budget_takes_every_item_that_fits(spark):
+    items = [("a", k, 3, f"i{k}") for k in range(300)] + [("a", 400, 200, "large"), ("a", 401, 100, "last"), (None, 1, 7, "x"), ("b", 1, None, "y")]
+    df = spark.createDataFrame(items, "g string, o int, t int, i string")
+    got = context.fold_budget(df, ["g"], [F.col("o")], "t", "i", 1000).orderBy("g", "place").collect()
+    assert [r.i for r in got] == ["x"] + [f"i{k}" for k in range(300)] + ["last"] and got[-1].place == 300
