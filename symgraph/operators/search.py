@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.core import group_limit
+
 K1, B = 1.2, 0.75
 SALTS = 8
 
@@ -62,6 +64,24 @@ def vector_search(vectors: DataFrame, query: list[float], k: int = 10, id_col: s
     return s.orderBy(F.col("similarity").desc(), id_col).limit(k)
 
 
+def vector_search_many(vectors: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "vec_id", col: str = "embedding", block: int = 500) -> DataFrame:
+    """(query_id, id, similarity): for each query (query_id, query) the k vectors most similar to it.
+
+    Every vector is compared with every query, exactly. Queries are taken in blocks, so that the
+    broadcast one is bounded; a query's k best are found in two rounds.
+    """
+    n = queries.count()
+    blocks = max(1, -(-n // block))
+    q = queries.withColumn("__b", F.pmod(F.xxhash64("query_id"), F.lit(blocks)))
+    out = None
+    for b in range(blocks):
+        s = vectors.select(id_col, col).crossJoin(F.broadcast(q.filter(F.col("__b") == b).drop("__b")))
+        s = s.select("query_id", id_col, F.round(cosine(F.col(col), F.col("query")), 6).alias("similarity")).filter("similarity is not null")
+        best = group_limit(s, ["query_id"], [F.col("similarity").desc(), F.col(id_col)], k)
+        out = best if out is None else out.unionByName(best)
+    return out
+
+
 def hybrid(fts: DataFrame, vectors: DataFrame, key: list[str], item: str, alpha: float = 0.5, k: int = 60) -> DataFrame:
     """(key, item, score): reciprocal rank fusion of two rank lists by a full outer join on (key, item)."""
     j = fts.select(*key, item, "fts_rank").join(vectors.select(*key, item, "vector_rank"), [*key, item], "full_outer")

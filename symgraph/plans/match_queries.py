@@ -148,6 +148,14 @@ def se04_vector_topk(s, d):
     return search.vector_search(v, list(q), 10)
 
 
+@R.query("""WITH q AS (SELECT vec_id AS query_id, embedding::DOUBLE[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, round(list_cosine_similarity(embedding::DOUBLE[], q), 6) AS similarity FROM embeddings, q)
+    SELECT query_id, vec_id, similarity FROM s WHERE similarity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, vec_id) <= 10""")
+def se04_vector_topk_many(s, d):
+    v = table(s, d, "embeddings")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    return search.vector_search_many(v, q, 10)
+
+
 @R.query("SELECT vec_id, label FROM embeddings WHERE label <> 3 UNION ALL SELECT vec_id, 99 FROM embeddings WHERE label = 3")
 def se05_upsert_vectors(s, d):
     v = table(s, d, "embeddings").select("vec_id", "label")

@@ -116,3 +116,12 @@ def test_budget_takes_every_item_that_fits(spark):
     df = spark.createDataFrame(items, "g string, o int, t int, i string")
     got = context.fold_budget(df, ["g"], [F.col("o")], "t", "i", 1000).orderBy("g", "place").collect()
     assert [r.i for r in got] == ["x"] + [f"i{k}" for k in range(300)] + ["last"] and got[-1].place == 300
+
+
+def test_many_vector_searches_equal_single_ones(spark):
+    v = spark.createDataFrame([(k, [float(k % 7), 1.0, float(k % 3)]) for k in range(45)] + [(45, None)], "vec_id int, embedding array<double>")
+    q = v.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    got = search.vector_search_many(v, q, 4, block=2).collect()
+    for r in q.collect():
+        want = [(x.vec_id, x.similarity) for x in search.vector_search(v, list(r["query"]), 4).collect()]
+        assert [(x.vec_id, x.similarity) for x in sorted((x for x in got if x.query_id == r.query_id), key=lambda x: (-x.similarity, x.vec_id))] == want
