@@ -2,13 +2,20 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
+SPREAD_BYTES = 1 << 30  # an input that may be shuffled once to use all cores
+SMALL_BYTES = 1 << 27  # rows that no hot key makes too much for one task
+BUCKETS, SKEW, SKEW_ROWS = 4096, 16, 10_000
+
+
 def build_session(app: str = "symgraph", master: str | None = None, **conf: str) -> SparkSession:
     """A session with the settings the operators are written for (UTC, AQE, skew joins)."""
     b = SparkSession.builder.appName(app)
@@ -39,9 +46,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     sc = spark.sparkContext
     at = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not at:
-        if not sc.master.startswith("local["):
+        if sc.master.partition("[")[0] != "local":
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
-        at = os.environ.setdefault("SYMGRAPH_CHECKPOINTS", tempfile.mkdtemp(prefix="symgraph-"))
+        at = os.environ.get("SYMGRAPH_CHECKPOINTS")
+        if not at:
+            at = os.environ["SYMGRAPH_CHECKPOINTS"] = tempfile.mkdtemp(prefix="symgraph-")
+            atexit.register(shutil.rmtree, at, True)
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(at)
     return at
@@ -53,14 +63,44 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     return df.checkpoint(eager)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def estimated_bytes(df: DataFrame) -> int:
+    """The optimizer's estimate of the size of ``df``; huge where it knows nothing."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
     """``df`` in at least as many partitions as there are cores, for work in Python that outweighs a shuffle.
 
-    Only an input of fewer scan tasks than cores (a small one, or one large row group) is shuffled;
-    a large one has more tasks than cores and stays where it lies.
+    Only an input of at most ``most`` bytes in fewer scan tasks than cores is shuffled, whatever the
+    size of the cluster; a larger one stays where it lies.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    if estimated_bytes(df) > most or df._jdf.queryExecution().toRdd().getNumPartitions() >= cores:
+        return df
+    return df.repartition(cores)
+
+
+def salted_join(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, small: int = SMALL_BYTES) -> DataFrame:
+    """``rows`` joined with ``reduced`` on ``keys``, where one key may hold a third of all rows.
+
+    The rows of each of ``BUCKETS`` hashes of the key are counted first (one pass over the keys;
+    at most ``BUCKETS`` counts reach the driver). Only buckets of over ``SKEW`` times the mean are
+    salted: their rows go to ``salts`` tasks and the matching rows of ``reduced`` are copied as
+    often. Without such buckets, and for rows of at most ``small`` bytes, it is a plain join. The
+    salt is a hash of the row, the same when a lost task runs again. ``how``: inner or left.
+    """
+    if estimated_bytes(rows) <= small:
+        return rows.join(reduced, keys, how)
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    counts = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+    mean = sum(r["n"] for r in counts) / BUCKETS
+    hot = [r["b"] for r in counts if r["n"] > SKEW * mean and r["n"] > SKEW_ROWS]
+    if not hot:
+        return rows.join(reduced, keys, how)
+    is_hot = bucket.isin(hot)
+    a = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int"))
+    b = reduced.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
+    return a.join(b, [*keys, "__salt"], how).drop("__salt")
 
 
 def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

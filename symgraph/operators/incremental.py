@@ -12,6 +12,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from symgraph.core import salted_join
+from symgraph.sources.tables import VersionedTables
+
 WIDTH = 1 << 16
 
 
@@ -67,80 +70,80 @@ def newest_stored(files: DataFrame, runs: DataFrame) -> DataFrame:
     )
 
 
-def file_states(scans: DataFrame) -> DataFrame:
-    """(file_path, last_op, digest, scan_id): what the scans say of each file, whatever their order of arrival.
+def numbered_scans(scans: DataFrame) -> DataFrame:
+    """(file_path, seq, op, at, digest): scans by their number; ``at`` orders the scans of a file.
 
-    ``digest`` and ``scan_id`` are of the newest scan with a digest (null if there is none). One
-    partial aggregate, so a file that holds a third of all scans costs no task more than others.
+    A null ``seen_at`` is older than all others; of equal times the higher number is newer. Scans
+    without a path or a number take no part.
     """
-    digest = normal_digest(F.col("content_hash"))
-    when = F.struct(F.col("seen_at").isNotNull(), "seen_at", "scan_id")
-    return scans.filter(F.col("file_path").isNotNull()).groupBy("file_path").agg(
-        F.max_by("op", when).alias("last_op"),
-        F.max_by(F.struct(digest.alias("digest"), F.col("scan_id")), F.when(digest.isNotNull(), when)).alias("s"),
-    ).select("file_path", "last_op", F.col("s.digest").alias("digest"), F.col("s.scan_id").alias("scan_id"))
+    at = F.struct(F.col("seen_at").isNotNull().alias("timed"), "seen_at", F.col("scan_id").cast("long").alias("seq"))
+    s = scans.select("file_path", F.col("scan_id").cast("long").alias("seq"), "op", at.alias("at"), normal_digest(F.col("content_hash")).alias("digest"))
+    return s.filter("file_path is not null and seq is not null")
 
 
-def derive_ledger(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
-    """The ledger that the stored ``files`` amount to: every scan but those still to be processed.
+def processed_scans(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
+    """(seq): the numbers of scans that successful runs have dealt with.
 
-    Still to be processed is, per file that was not deleted last, the newest scan with a digest
-    whose digest is not that of the newest successfully stored row.
+    A scan is dealt with if a successful run stored its digest for its file, or if it is older
+    than such a scan. The stored digest meets the scans on (path, digest), so a file that holds a
+    third of all scans is spread by its digests; the newest scan dealt with goes back to the
+    file's scans by a salted join.
     """
-    states = file_states(scans).filter("scan_id is not null and (last_op is null or last_op <> 'deleted')")
-    open_ = states.join(newest_stored(files, runs), "file_path", "left").filter("has_row is null or stored is null or stored <> digest")
-    done = scans.select(F.col("scan_id").alias("seq")).distinct().join(open_.select(F.col("scan_id").alias("seq")), "seq", "left_anti")
-    return to_intervals(done)
+    s = numbered_scans(scans)
+    stored = newest_stored(files, runs).select("file_path", F.col("stored").alias("digest")).filter("digest is not null")
+    upto = s.filter("digest is not null").groupBy("file_path", "digest").agg(F.max("at").alias("upto")).join(stored, ["file_path", "digest"]).select("file_path", "upto")
+    return salted_join(s.select("file_path", "seq", "at"), upto, ["file_path"]).filter("at <= upto").select("seq")
+
+
+def derive_ledger(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
+    """The ledger that the stored ``files`` amount to: the processed scan numbers as intervals."""
+    return to_intervals(processed_scans(scans, files, runs))
 
 
 def files_to_parse(scans: DataFrame, files: DataFrame, runs: DataFrame) -> DataFrame:
     """(file_path): exactly the files that the next run has to parse.
 
+    The ledger of processed numbers is subtracted from the numbers at hand; what is left, late
+    commits included, are the scans to be processed. Of these the newest per file decides: a file
+    is due if it was not deleted last and some scan left has a digest. (If its newest digest was
+    processed, so were all older scans, and no digest is left.)
+
     Null paths take no part; scans with a null ``seen_at`` count as older than all others; of
     equal times the higher scan_id (or run_id) is newer; empty digests count as null. Repeated
     deliveries of a scan count once; empty tables give no rows. Extra columns are ignored.
     """
-    ledger = derive_ledger(scans, files, runs)
-    pending = subtract(scans.select(F.col("scan_id").alias("seq")), ledger)
-    due = scans.select("file_path", F.col("scan_id").alias("seq"))
-    return due.join(pending, "seq", "left_semi").filter("file_path is not null").select("file_path").distinct()
+    s = numbered_scans(scans)
+    pending = subtract(s.select("seq"), derive_ledger(scans, files, runs))
+    left = s.join(pending, "seq", "left_semi").groupBy("file_path").agg(F.max_by("op", "at").alias("last_op"), F.count("digest").alias("digests"))
+    return left.filter("digests > 0 and (last_op is null or last_op <> 'deleted')").select("file_path")
 
 
 class Ledger:
-    """Versions of a ledger in a folder that all executors share.
+    """A ledger in a folder that all executors share; output and intervals become valid together.
 
-    ``v=N`` holds ``output`` and ``intervals``; the empty file ``v=N.committed`` makes both valid
-    at once. Readers take the highest committed version.
+    Runs are optimistic: ``pending`` fixes the version a run starts from, ``commit`` adds the next
+    one. Of two runs that start from the same version the first to commit holds; the other raises
+    ``ConcurrentCommit``, leaves nothing that is read, and starts again with what is then pending.
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path.rstrip("/")
-        jvm = spark._jvm
-        self._path = jvm.org.apache.hadoop.fs.Path
-        self._fs = self._path(self.path).getFileSystem(spark._jsc.hadoopConfiguration())
+        self.spark, self.tables, self._base = spark, VersionedTables(spark, path), None
 
     def versions(self) -> list[int]:
-        if not self._fs.exists(self._path(self.path)):
-            return []
-        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.path))]
-        return sorted(int(n[2:-10]) for n in names if n.startswith("v=") and n.endswith(".committed"))
+        return self.tables.versions()
 
-    def intervals(self) -> DataFrame:
-        done = self.versions()
-        if not done:
-            return self.spark.createDataFrame([], "bucket long, lo long, hi long")
-        return self.spark.read.parquet(f"{self.path}/v={done[-1]}/intervals")
+    def intervals(self, version: int | None = None) -> DataFrame:
+        done = self.tables.read("intervals", version)
+        return done if done is not None else self.spark.createDataFrame([], "bucket long, lo long, hi long")
 
     def pending(self, available: DataFrame) -> DataFrame:
-        """The available numbers not yet processed, gaps by late commits included."""
-        return subtract(available, self.intervals())
+        """The available numbers not yet processed, gaps by late commits included; begins a run."""
+        self._base = self.tables.version()
+        return subtract(available, self.intervals(self._base))
 
     def commit(self, output: DataFrame, processed: DataFrame) -> int:
-        """Writes the output and the merged intervals, then the marker that makes them valid."""
-        n = (self.versions() or [0])[-1] + 1
-        at = f"{self.path}/v={n}"
-        output.write.mode("overwrite").parquet(f"{at}/output")
-        merge_intervals(self.intervals(), to_intervals(processed)).write.mode("overwrite").parquet(f"{at}/intervals")
-        if not self._fs.createNewFile(self._path(f"{at}.committed")):
-            raise RuntimeError(f"version {n} was committed by another run")
-        return n
+        """Writes the output and the merged intervals of the run, then the marker that makes both valid."""
+        base = self.tables.version() if self._base is None else self._base
+        merged = merge_intervals(self.intervals(base), to_intervals(processed))
+        self._base = None
+        return self.tables.commit(base, output=output, intervals=merged)

@@ -46,13 +46,15 @@ WITH stored AS (
 s AS (
   SELECT file_path, scan_id, op, {'t': coalesce(seen_at, TIMESTAMP '1900-01-01'), 's': scan_id} AS o,
          nullif(regexp_replace(regexp_replace(lower(trim(content_hash)), '^[a-z0-9-]+[:=]\s*', ''), '\s+', '', 'g'), '') AS h
-  FROM file_scans WHERE file_path IS NOT NULL),
+  FROM file_scans WHERE file_path IS NOT NULL AND scan_id IS NOT NULL),
 state AS (
-  SELECT file_path, max_by(op, o) AS last_op, max_by(h, o) FILTER (h IS NOT NULL) AS digest, max_by(scan_id, o) FILTER (h IS NOT NULL) AS scan_id
+  SELECT file_path, max_by(op, o) AS last_op, max_by(h, o) FILTER (h IS NOT NULL) AS digest
   FROM s GROUP BY file_path),
 due AS (
   SELECT state.* FROM state LEFT JOIN stored USING (file_path)
-  WHERE state.scan_id IS NOT NULL AND last_op <> 'deleted' AND (stored.stored IS NULL OR stored.stored <> digest))
+  WHERE digest IS NOT NULL AND last_op <> 'deleted' AND (stored.stored IS NULL OR stored.stored <> digest)),
+done AS (
+  SELECT DISTINCT s.scan_id FROM s JOIN (SELECT file_path, max(o) AS o FROM s JOIN stored USING (file_path) WHERE h = stored GROUP BY 1) m ON m.file_path = s.file_path AND s.o <= m.o)
 """
 _PRESENT = """
 WITH present AS (
@@ -69,8 +71,7 @@ bad AS (
 
 ORACLE = {
     "p2_found": _STATE + "SELECT file_path FROM due",
-    "p2_intervals": _STATE + """, done AS (SELECT DISTINCT scan_id FROM file_scans WHERE scan_id IS NOT NULL AND scan_id NOT IN (SELECT scan_id FROM due))
-        SELECT min(scan_id) AS lo, max(scan_id) AS hi FROM (
+    "p2_intervals": _STATE + """SELECT min(scan_id) AS lo, max(scan_id) AS hi FROM (
           SELECT scan_id, scan_id // 65536 AS bucket, scan_id - row_number() OVER (PARTITION BY scan_id // 65536 ORDER BY scan_id) AS run FROM done)
         GROUP BY bucket, run""",
     "p7_found": _PRESENT + "SELECT DISTINCT source_id, target_id, kind, ref_field FROM bad",

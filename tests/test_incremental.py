@@ -4,7 +4,11 @@ import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
+from pyspark.sql import functions as F
+
+from symgraph.core import salted_join
 from symgraph.operators import incremental as I
+from symgraph.sources.tables import ConcurrentCommit
 from tests.conftest import rows
 
 SCANS = "scan_id long, file_path string, op string, content_hash string, size_bytes long, seen_at timestamp, arrived_at timestamp"
@@ -96,3 +100,50 @@ def test_empty_tables(spark, empty):
     }
     t[empty] = t[empty].limit(0)
     assert I.files_to_parse(t["scans"], t["files"], t["runs"]).count() == (0 if empty == "scans" else 1)
+
+
+def test_the_intervals_decide_the_files(spark, monkeypatch):
+    scans = spark.createDataFrame([(1, "same", "created", "aa", 1, at(1), at(1)), (2, "due", "created", "bb", 1, at(1), at(1)), (3, "due", "modified", "cc", 1, at(2), at(2))], SCANS)
+    files = spark.createDataFrame([("same", "aa", "go", at(2), 1), ("due", "bb", "go", at(1), 1)], FILES)
+    runs = spark.createDataFrame([(1, "r", "success")], RUNS)
+    assert rows(I.derive_ledger(scans, files, runs), "lo", "hi") == [(1, 2)]
+    assert rows(I.files_to_parse(scans, files, runs)) == [("due",)]
+    monkeypatch.setattr(I, "subtract", lambda available, ledger: available.distinct())
+    assert rows(I.files_to_parse(scans, files, runs)) == [("due",), ("same",)]
+
+
+def test_two_runs_from_one_version_commit_once(spark, tmp_path):
+    seq = lambda xs: spark.createDataFrame([(x,) for x in xs], "seq long")
+    a, b = (I.Ledger(spark, str(tmp_path / "ledger")) for _ in range(2))
+    a.commit(seq([1]), seq([1]))
+    assert rows(a.pending(seq([1, 2, 3]))) == rows(b.pending(seq([1, 2, 3]))) == [(2,), (3,)]
+    a.commit(seq([2, 3]), seq([2, 3]))
+    with pytest.raises(ConcurrentCommit):
+        b.commit(seq([2, 3, 99]), seq([2, 3, 99]))
+    # the first commit stands as it was, and the second run finds nothing left
+    assert a.versions() == [1, 2] and rows(a.tables.read("output")) == [(2,), (3,)]
+    assert rows(b.pending(seq([1, 2, 3, 4]))) == [(4,)]
+
+
+def test_a_kill_between_the_writes_leaves_nothing(spark, tmp_path, monkeypatch):
+    seq = lambda xs: spark.createDataFrame([(x,) for x in xs], "seq long")
+    led = I.Ledger(spark, str(tmp_path / "ledger"))
+    led.commit(seq([1]), seq([1]))
+    led.pending(seq([1, 2]))
+    with monkeypatch.context() as m:
+        m.setattr(type(led.tables), "_publish", lambda *_: (_ for _ in ()).throw(KeyboardInterrupt()))
+        with pytest.raises(KeyboardInterrupt):
+            led.commit(seq([2]), seq([2]))
+    assert led.versions() == [1] and rows(led.tables.read("output")) == [(1,)]
+    assert rows(led.pending(seq([1, 2]))) == [(2,)]
+    led.commit(seq([2]), seq([2]))
+    assert led.pending(seq([1, 2])).isEmpty()
+
+
+def test_salted_join_is_a_join(spark):
+    r = spark.range(40_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), "id")
+    d = spark.range(30_000).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
+    for how in ("inner", "left"):
+        got = salted_join(r, d, ["k"], how, salts=4, small=0)
+        assert "__salt" in got._jdf.queryExecution().analyzed().toString()
+        assert got.exceptAll(r.join(d, "k", how)).isEmpty() and got.count() == r.join(d, "k", how).count()
