@@ -80,24 +80,35 @@ def spread(df: DataFrame, most: int = SPREAD_BYTES) -> DataFrame:
     return df.repartition(cores)
 
 
-def salted_join(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, small: int = SMALL_BYTES) -> DataFrame:
-    """``rows`` joined with ``reduced`` on ``keys``, where one key may hold a third of all rows.
+def key_bucket(keys: list[str]) -> Column:
+    """One of ``BUCKETS`` hashes of a key."""
+    return F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+
 
-    The rows of each of ``BUCKETS`` hashes of the key are counted first (one pass over the keys;
-    at most ``BUCKETS`` counts reach the driver). Only buckets of over ``SKEW`` times the mean are
-    salted: their rows go to ``salts`` tasks and the matching rows of ``reduced`` are copied as
-    often. Without such buckets, and for rows of at most ``small`` bytes, it is a plain join. The
-    salt is a hash of the row, the same when a lost task runs again. ``how``: inner or left.
+def hot_buckets(rows: DataFrame, keys: list[str], small: int = SMALL_BYTES) -> list[int]:
+    """The buckets of keys that hold over ``SKEW`` times the mean number of rows: fewer than ``BUCKETS / SKEW``.
+
+    One pass over the keys; at most ``BUCKETS`` counts reach the driver. Rows of at most ``small``
+    bytes have none, as no key makes them too much for one task.
     """
     if estimated_bytes(rows) <= small:
-        return rows.join(reduced, keys, how)
-    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
-    counts = rows.groupBy(bucket.alias("b")).agg(F.count("*").alias("n")).collect()
+        return []
+    counts = rows.groupBy(key_bucket(keys).alias("b")).agg(F.count("*").alias("n")).collect()
     mean = sum(r["n"] for r in counts) / BUCKETS
-    hot = [r["b"] for r in counts if r["n"] > SKEW * mean and r["n"] > SKEW_ROWS]
+    return sorted(r["b"] for r in counts if r["n"] > SKEW * mean and r["n"] > SKEW_ROWS)
+
+
+def salted_join(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, small: int = SMALL_BYTES) -> DataFrame:
+    """``rows`` joined with ``reduced`` on ``keys``, where one key may hold a third of all rows.
+
+    Only the rows of hot buckets are salted: they go to ``salts`` tasks and the matching rows of
+    ``reduced`` are copied as often. Without such buckets it is a plain join. The salt is a hash of
+    the row, the same when a lost task runs again. ``how``: inner or left.
+    """
+    hot = hot_buckets(rows, keys, small)
     if not hot:
         return rows.join(reduced, keys, how)
-    is_hot = bucket.isin(hot)
+    is_hot = key_bucket(keys).isin(hot)
     a = rows.withColumn("__salt", F.when(is_hot, F.pmod(F.xxhash64(*rows.columns), F.lit(salts))).otherwise(0).cast("int"))
     b = reduced.withColumn("__salt", F.explode(F.when(is_hot, F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))))
     return a.join(b, [*keys, "__salt"], how).drop("__salt")
