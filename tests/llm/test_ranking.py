@@ -38,6 +38,19 @@ def test_fusion_matches_brute_force(spark):
     assert rows(fusion.best_of_each_query(df)) == sorted((q, n) for q, v in top.items() for _, n in sorted(v)[:3])
 
 
+def test_hot_groups_are_ranked_the_same(spark, monkeypatch):
+    r = random.Random(6)
+    items = [(1 if r.random() < 0.6 else r.randrange(2, 40), f"n{r.randrange(500):03d}", r.choice([1.0, 2.0, r.random(), None]), r.choice([0, 1, 2, 7]), r.choice([0.0, 0.5, 0.9]), "x") for _ in range(2000)]
+    df = spark.createDataFrame(items, RES)
+    want = rows(fusion.reciprocal_rank_fusion(df, "query_id", "node_id", fusion.search_measures()))
+    best = rows(fusion.best_of_each_query(df))
+    monkeypatch.setattr("symgraph.core.SKEW_ROWS", 20)
+    usual, hot = fusion._parts(df, "query_id", "node_id", fusion.search_measures(), 60, 0)
+    assert hot is not None and hot.filter("query_id = 1").count() > 100 and usual.filter("query_id = 1").isEmpty()
+    assert rows(fusion.reciprocal_rank_fusion(df, "query_id", "node_id", fusion.search_measures(), small=0)) == want
+    assert rows(fusion.best_of_groups(df, "query_id", "node_id", fusion.search_measures(), 3, small=0), "query_id", "node_id") == best
+
+
 def test_fusion_of_nothing(spark):
     assert fusion.best_of_each_query(spark.createDataFrame([], RES)).count() == 0
 
