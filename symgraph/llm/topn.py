@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.core import cut_lineage
+
 PART_ROWS = 200_000
 
 
@@ -55,7 +57,8 @@ def top_n(rows: DataFrame, keys: list[str], score: str, item: str, n: int = 3, p
     for c in ok:
         src = src.filter(c)
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in src.schema) + ", is_bound boolean"
-    local = src.mapInArrow(_survivors(keys, score, item, n, part_rows), schema)
+    # written once: the bounds and the rows both come from it, the source is read once
+    local = cut_lineage(src.mapInArrow(_survivors(keys, score, item, n, part_rows), schema))
     # the best bound: highest score, then lowest item
     best = local.filter("is_bound").groupBy(*keys).agg(F.max(score).alias("__bound"))
     left = local.join(best, keys, "left").filter(F.col("__bound").isNull() | (F.col(score) >= F.col("__bound")))
