@@ -28,7 +28,7 @@ def p3_rates(spark: SparkSession, d: str) -> DataFrame:
 
 def p4_found(spark: SparkSession, d: str) -> DataFrame:
     """Inherited documentation only points elsewhere, so only functions' own counts here."""
-    return pairs.documented_functions(table(spark, d, "nodes"), table(spark, d, "edges")).filter("levels = 0").select("id")
+    return pairs.telling_functions(table(spark, d, "nodes"))
 
 
 def p4_pairs(spark: SparkSession, d: str) -> DataFrame:
@@ -56,17 +56,25 @@ def p9_found(spark: SparkSession, d: str) -> DataFrame:
     return found.select("doc_id", "item_id").distinct()
 
 
+def p9_cut(spark: SparkSession, d: str) -> DataFrame:
+    return contamination.without_spans(table(spark, d, "documents"), table(spark, d, "eval_items")).select("doc_id", "text")
+
+
 def p10_found(spark: SparkSession, d: str) -> DataFrame:
     return canonical.look_alike_pairs(table(spark, d, "documents"))
 
 
+def p10_classes(spark: SparkSession, d: str) -> DataFrame:
+    return canonical.look_alike_classes(table(spark, d, "documents"))
+
+
 def p10_canonical(spark: SparkSession, d: str) -> DataFrame:
     return canonical.canonical_texts(table(spark, d, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        p1_found, p1_fused, p3_found, p3_rates, p4_found, p4_pairs, p5_found, p6_found, p6_origins, p8_ids, p9_found, p10_found, p10_canonical,
+        p1_found, p1_fused, p3_found, p3_rates, p4_found, p4_pairs, p5_found, p6_found, p6_origins, p8_ids, p9_found, p9_cut, p10_found, p10_classes, p10_canonical,
     )
 }
 

@@ -2,6 +2,7 @@ import itertools
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from symgraph.llm import pairs, parseability, provenance
 from symgraph.llm.chart import Grammar, bracket_repair
@@ -172,6 +173,25 @@ def test_pairs_and_inheritance(spark):
     assert pairs.documented_functions(nodes.limit(0), edges.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("doc, name", [("Write some text for comments.", "writeCommentText"), ("Fill in missing details of a document.", "fillDocumentDetails")])
+def test_words_of_placeholders_may_speak_of_the_code(doc, name):
+    assert pairs.description(doc, name) and pairs.description(doc, "run") is None
+
+
+def test_inheritance_of_any_depth_and_the_newest_delivery(spark):
+    classes = [(f"C{k:02d}", "class", f"C{k}", "r/a.php", 1, 9, "php", None, None, None, 1, "z") for k in range(20)]
+    methods = [fn("C00.run", "run", "/** Walks the queue until it is empty. */", "function run() {}"), fn("C19.run", "run", "/** {@inheritDoc} */", "function run() {}")]
+    old = fn("f", "f", "/** Keeps the rest. */", "function f() {}")
+    nodes = spark.createDataFrame([*classes, *methods, old], NODES)
+    new = spark.createDataFrame([fn("f", "f", "", "function f() {}")], NODES)
+    at = lambda df, day: df.withColumn("ingested_at", F.to_timestamp(F.lit(f"2025-01-0{day}")))
+    edges = spark.createDataFrame([("C00", "C00.run", "contains"), ("C19", "C19.run", "contains"), *[(f"C{k:02d}", f"C{k - 1:02d}", "extends") for k in range(1, 20)]], "source_id string, target_id string, kind string")
+    all_ = at(nodes, 1).unionByName(at(new, 2))
+    assert {(r.id, r.levels) for r in pairs.documented_functions(all_, edges).collect()} == {("C00.run", 0), ("C19.run", 19)}
+    assert rows(pairs.telling_functions(all_)) == [("C00.run",)]
+    assert rows(pairs.telling_functions(at(nodes, 2).unionByName(at(new, 1)))) == [("C00.run",), ("f",)]
+
+
 def hand(k=0):
     r = random.Random(k)
     return "".join(f"function {r.choice('abcdef')}{r.randrange(999)}({r.choice('xyz')}) {{\n  return {r.choice('pqr')}{r.randrange(99)} {r.choice('+-*')} {r.randrange(99)};\n}}\n" for _ in range(12))
