@@ -12,13 +12,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.core import cut_lineage
+from symgraph.core import cut_lineage, salted_join
+from symgraph.llm.lexers import KEYWORDS
 
-SALTS = 8
 HEAD_LINES, TAIL_LINES = 20, 5  # where a mark of origin stands
-MINIFIED_LINE, MINIFIED_REUSE = 180, 0.5
+MINIFIED_LINE, MINIFIED_REUSE = 120, 0.5
 BLOB_SHARE, BLOB_UNITS, BLOB_RATIO = 0.5, 24, 0.9
-GENERATED_STATEMENTS, GENERATED_REUSE = 400, 0.985
+GENERATED_STATEMENTS, GENERATED_ALONE, GENERATED_RATIO = 60, 1 / 7, 7.0
 REPEATED_RUNS, REPEATED_REUSE, REPEATED_SIZE = 16, 0.85, 0.5
 SHARED_STATEMENTS, SHARED_CHARS, SHARED_PART = 6, 240, 0.5
 PROSE = 20
@@ -31,14 +31,20 @@ _NAMES = re.compile(
 )
 # Folders that hold other projects' code.
 _FOLDERS = re.compile(
-    r"(?:^|/)(?:_?vendor|vendored|node_modules|bower_components|jspm_packages|third[_-]?party|site-packages|dist-packages|externals?|extern|deps|godeps|pods|carthage)/", re.I
+    r"(?:^|/)(?:_?vendor|vendored|node_modules|bower_components|jspm_packages|third[_-]?party|site-packages|dist-packages|godeps|pods|carthage)/(?:@[^/]+/)?([^/]+)", re.I
 )
+# Folders that may hold other projects' code or the project's own.
+_MAYBE = re.compile(r"(?:^|/)(?:externals?|extern|deps)/([^/]+)/", re.I)
 _VERSIONED = re.compile(r"/[A-Za-z][\w.]*-v?\d+\.\d+(?:\.\d+)+(?:[.-](?:min|bundle|prod))?\.\w+$")
-# What tools state in the files they write.
+# What tools state of the files they write. The file is named, or nothing is and the comment begins so.
+_FILE = r"\b(?:file|code|source|module|document|stub|binding|header|script|stylesheet)s?\b"
 _MARKS = re.compile(
-    r"@generated\b|<auto-?generated|\bauto(?:matically)?[- ]?generated\b|\bcode generated\b|\bgenerated (?:from|by|with|using|at|on)\b|\bthis (?:file|code) (?:is|was) (?:auto\w*[- ])?generated\b"
+    r"@generated\b|<auto-?generated|\bcode generated\b"
+    rf"|(?:^\W*|{_FILE}\W+(?:(?:is|was|are|were|has been|have been)\W+)?)(?:auto(?:matically)?[- ]?)?generated (?:from|by|with|using|at|on)\b"
+    rf"|{_FILE}\W+(?:is|was|has been)\W+auto(?:matically)?[- ]?generated\b|\bauto(?:matically)?[- ]?generated\W+(?:{_FILE}|do not\b)|^\W*auto(?:matically)?[- ]?generated\W*$"
     r"|\bdo not (?:edit|modify|change)\b(?:[^.\n]{0,60})\b(?:directly|by hand|manually)\b|\b(?:file|edit|modify)\b.{0,80}\b(?:rebuilt|regenerated) (?:from|by)\b"
-    r"|\bchanges?\b[^.\n]{0,30}\b(?:lost|overwritten)\b|\bautomatisch (?:erzeugt|generiert|erstellt)|\bg[ée]n[ée]r[ée]e? automatiquement|\bgenerad[oa] autom[áa]ticamente"
+    r"|\b(?:any|all|manual|local|hand|your)\b[^.\n]{0,20}\b(?:changes?|edits?|modifications?)\b[^.\n]{0,30}\b(?:lost|overwritten)\b"
+    r"|\bautomatisch (?:erzeugt|generiert|erstellt)|\bg[ée]n[ée]r[ée]e? automatiquement|\bgenerad[oa] autom[áa]ticamente"
     r"|автоматически (?:создан|сгенерирован)|(?:создан|сгенерирован)\w* автоматически|自動生成|自动生成|^\W*source: \S+\.(?:proto|thrift|graphql|avsc|idl|fbs|yang|asn1?)\b",
     re.I | re.M,
 )
@@ -55,13 +61,11 @@ _TOLD = re.compile(
     r"|\"{3}[\s\S]*?\"{3}|'{3}[\s\S]*?'{3}|\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'|`[^`]*`"
 )
 _COMPILED = re.compile(r"Object\.defineProperty\(exports, ?[\"']__esModule[\"']|__webpack_require__|_interopRequire(?:Default|Wildcard)\(|\bSystem\.register\(\[|\(0, _\w+\.default\)")
+_COMPILED_PARTS = ("__esModule", "__webpack_require__", "_interopRequire", "System.register(", "(0, _")  # one of them is in whatever that pattern finds
 _SOURCE_MAP = re.compile(r"[#@] ?source(?:Mapping)?URL=")
 _LICENCE = re.compile(r"\blicen[sc]e[ds]?\b|\bcopyright\b|\(c\)|©|\ball rights reserved\b", re.I)
-_PROJECT = re.compile(
-    r"^\W*([A-Za-z][\w.-]*?)(?:\.(?:js|css|ts|php|py|go|rs|scss))? v?\d+\.\d+[\w.]*\b|\bcopyright \(c\) (?:\d{4}(?:-\d{4})?,? )?(?:the )?([A-Za-z][\w-]+)"
-    r"|\(c\) (?:\d{4}(?:-\d{4})?,? )?(?:the )?([A-Za-z][\w-]+)|^\W*([A-Za-z][\w.-]*) - .*\n\W*version:",
-    re.I | re.M,
-)
+# A project with its version, in the head of a file; a holder of rights alone may be the repository's own.
+_PROJECT = re.compile(r"^\W*([A-Za-z][\w.-]*?)(?:\.(?:js|css|ts|php|py|go|rs|scss))? v?\d+\.\d+[\w.]*\b|^\W*([A-Za-z][\w.-]*) - .*\n\W*version:", re.I | re.M)
 _COMMENT_LINE = re.compile(r"^\s*(?://|#(?!\[|include|!)|/\*|\*|--|<!--|\"\"\"|''')")
 _COMMENTS = re.compile(r"/\*[\s\S]*?(?:\*/|$)|(?m:^[ \t]*(?://|#(?![\[\w]))[^\n]*$)")
 _NUMBER = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|\d[\d_]*(?:\.\d+)?(?:[eE][+-]?\d+)?)[uUlLnfF]{0,3}"
@@ -75,14 +79,17 @@ _CODE = re.compile(rf"{_NUMBER}|[\da-fA-F]{{2,8}}")
 _BETWEEN = re.compile(r"[\s,;:]+")
 _DATA_URI = re.compile(r"^data:[\w/+.-]*(?:;[\w=.-]+)*,")
 _WORD = re.compile(r"[A-Za-z_$\u0080-\U0010ffff][\w$]*")
+_TOKEN = re.compile(_LITERAL.pattern + r"|(?P<word>[A-Za-z_$\u0080-\U0010ffff][\w$]*)|(?P<sign>[^\s\w])", re.S)
+_WORDS = frozenset().union(*KEYWORDS.values())
 _BREAK = re.compile(r"(?<=[;{}])")
 
 
 def re_pair(symbols: list[int]) -> tuple[dict[int, tuple[int, int]], list[int]]:
     """(rules, rest): the Re-Pair grammar of a sequence; rules map a new symbol to the pair it stands for.
 
-    Round by round the most frequent pairs (those at least half as frequent as the most frequent
-    one, twice at least) are replaced left to right, so a sequence of n symbols takes n log n.
+    Round by round the most frequent pair is replaced left to right, and with it the next frequent
+    ones (at least half as frequent, twice at least) that have no symbol in common with those
+    before, so that no pair breaks another's; a sequence of n symbols takes n log n.
     """
     rules: dict[int, tuple[int, int]] = {}
     new = max(symbols, default=0) + 1
@@ -91,32 +98,38 @@ def re_pair(symbols: list[int]) -> tuple[dict[int, tuple[int, int]], list[int]]:
         top = max(count.values())
         if top < 2:
             break
-        least, names, out, k, used = max(2, (top + 1) // 2), {}, [], 0, Counter()
-        n = len(symbols)
-        while k < n:
-            pair = (symbols[k], symbols[k + 1]) if k + 1 < n else None
-            if pair is not None and count[pair] >= least:
-                s = names.get(pair)
-                if s is None:
-                    s = names[pair] = new
-                    new += 1
+        least, names, taken = max(2, (top + 1) // 2), {}, set()
+        for pair in sorted((p for p, c in count.items() if c >= least), key=lambda p: (-count[p], p)):
+            if taken.isdisjoint(pair):
+                taken.update(pair)
+                names[pair] = new
+                new += 1
+        out, k, last, used = [], 0, len(symbols) - 1, Counter()
+        while k <= last:
+            s = names.get((symbols[k], symbols[k + 1])) if k < last else None
+            if s is None:
+                out.append(symbols[k])
+                k += 1
+            else:
                 out.append(s)
                 used[s] += 1
                 k += 2
-            else:
-                out.append(symbols[k])
-                k += 1
-        if len(out) == n or all(v < 2 for v in used.values()):
-            break
         # a pair that its neighbours left standing once is no rule
         back = {s: p for p, s in names.items()}
+        if all(used[s] >= 2 for s in back):
+            rules |= back
+            symbols = out
+            continue
         symbols = []
         for s in out:
             if s in back and used[s] < 2:
                 symbols += back[s]
             else:
                 symbols.append(s)
-        rules |= {s: p for s, p in back.items() if used[s] >= 2}
+        kept = {s: p for s, p in back.items() if used[s] >= 2}
+        if not kept:
+            break
+        rules |= kept
     return rules, symbols
 
 
@@ -196,72 +209,114 @@ def numbered(items: list[str]) -> list[int]:
     return [ids.setdefault(x, len(ids)) for x in items]
 
 
-def repetitive(shapes: list[int]) -> bool:
-    """Whether rules stand for so much of a text's statements that a tool must have written them.
+def token_symbols(text: str) -> list[int]:
+    """The tokens of a text without comments as symbols: keywords and signs as they are, other words and literals as one each.
 
-    Runs of one shape (lists, tables of constants) count once. What rules and rest take must be
-    within what a repeated block takes, a bound that grows with the logarithm of the length; it
-    is never over half of the text, which no short text by hand comes near.
+    The elements of a list (a token and its comma, again and again) count once, however many.
     """
+    out: list[str] = []
+    for m in _TOKEN.finditer(_COMMENTS.sub("", text)):
+        g = m.lastgroup
+        out.append((m[0] if m[0] in _WORDS else "w") if g == "word" else m[0] if g == "sign" else "0")
+        if len(out) > 3 and out[-1] == out[-3] == "," and out[-2] == out[-4]:
+            del out[-2:]
+    return numbered(out)
+
+
+def repetitive(text: str, shapes: list[int]) -> bool:
+    """Whether rules stand for so much of a text that a tool must have written it.
+
+    Of a text of ``GENERATED_STATEMENTS`` or more whose statements nearly all have a shape that
+    comes again, the Re-Pair grammar of its tokens decides: it must be ``GENERATED_RATIO`` times
+    shorter than the tokens. In a shorter text, runs of one shape (lists, tables of constants)
+    count once, and what rules and rest of its statements take must be within what a repeated block
+    takes, a bound that grows with the logarithm of the length and is never over half of the text.
+    """
+    n = len(shapes)
+    if n >= GENERATED_STATEMENTS:
+        count = Counter(shapes)
+        if sum(c == 1 for c in count.values()) <= GENERATED_ALONE * n:
+            symbols = token_symbols(text)
+            rules, rest = re_pair(symbols)
+            if len(symbols) >= GENERATED_RATIO * (2 * len(rules) + len(rest)):
+                return True
     runs = [s for k, s in enumerate(shapes) if not k or s != shapes[k - 1]]
     n = len(runs)
-    if n >= REPEATED_RUNS:
-        rules, rest = re_pair(runs)
-        if 2 * len(rules) + len(rest) <= min(REPEATED_SIZE * n, 6 + 4 * math.log2(n)) and covered(rules, rest) >= REPEATED_REUSE:
-            return True
-    return len(shapes) >= GENERATED_STATEMENTS and len(set(shapes)) * 50 < len(shapes) and covered(*re_pair(shapes)) >= GENERATED_REUSE
+    if n < REPEATED_RUNS:
+        return False
+    rules, rest = re_pair(runs)
+    return 2 * len(rules) + len(rest) <= min(REPEATED_SIZE * n, 6 + 4 * math.log2(n)) and covered(rules, rest) >= REPEATED_REUSE
 
 
-def origin(path: str | None, text: str) -> str | None:
-    """generated, compiled, minified, vendored or data for a file not written by hand here, else null.
+def by_grammar(text: str, parts: list[str] | None = None) -> str | None:
+    """What grammars say of a text: data, minified, generated or, where they say nothing, null.
 
-    Marks come first (folder, name, stated origin); then the grammars: literals that take up most
-    of a text and that no rule shortens are data, long lines whose statement shapes repeat are
-    minified, a text of any length that rules make short is generated.
+    Literals that take up most of a text and that no rule shortens are data, long lines whose
+    statement shapes repeat are minified, a text that rules make short is generated.
     """
-    path = path or ""
+    if not text.strip():
+        return None
+    units, chars = literal_units(text)
+    if len(units) >= BLOB_UNITS and chars >= BLOB_SHARE * (sum(map(len, text.split())) - text.count(",")) and incompressible(units):
+        return "data"
+    parts = statements(text) if parts is None else parts
+    shapes = numbered([_WORD.sub("w", _LITERAL.sub("0", p)) for p in parts])
+    if max(map(len, text.split("\n"))) > MINIFIED_LINE:
+        code_lines = max(1, sum(1 for x in _COMMENTS.sub("", text).split("\n") if x.strip()))
+        if sum(map(len, parts)) / code_lines > MINIFIED_LINE and (len(parts) > code_lines * 6 or covered(*re_pair(shapes)) >= MINIFIED_REUSE):
+            return "minified"
+    return "generated" if repetitive(text, shapes) else None
+
+
+def by_mark(path: str, text: str) -> str | None:
+    """What folder, name and stated origin say of a file: vendored, generated, minified, compiled or null."""
     if _FOLDERS.search(path) or _VERSIONED.search(path):
         return "vendored"
     lines = text.split("\n")
     head = "\n".join(x for x in lines[:HEAD_LINES] if len(x) < 400 and (_COMMENT_LINE.match(x)))
     head += "\n" + _OPENING.match(text)[0]
     if head.strip():
-        repo = path.split("/", 1)[0].lower()
-        if _LICENCE.search(head):
-            names = {g.lower() for m in _PROJECT.finditer(head) for g in m.groups() if g}
-            if names and not re.search(rf"\b{re.escape(repo)}\b", head.lower()):
-                return "vendored"
+        if _LICENCE.search(head) and named_project(path, head):
+            return "vendored"
         if _MARKS.search(head):
             return "generated"
-    if _STATED.search(text) and any(m[1] and _STATED.search(m[1]) for m in _TOLD.finditer(text)):
+    if "generated" in text.lower() and _STATED.search(text) and any(m[1] and _STATED.search(m[1]) for m in _TOLD.finditer(text)):
         return "generated"
     if _NAMES.search(path):
         return "minified" if ".min." in path.lower() else "generated"
-    if not text.strip():
-        return None
-    if _COMPILED.search(text) or any(_SOURCE_MAP.search(x) for x in lines[-TAIL_LINES:] if len(x) < 4000 or "sourceMappingURL" in x):
+    if text.strip() and ((any(x in text for x in _COMPILED_PARTS) and _COMPILED.search(text)) or any(_SOURCE_MAP.search(x) for x in lines[-TAIL_LINES:] if len(x) < 4000 or "sourceMappingURL" in x)):
         return "compiled"
-    units, chars = literal_units(text)
-    visible = sum(map(len, text.split()))
-    if len(units) >= BLOB_UNITS and chars >= BLOB_SHARE * visible:
-        if incompressible(units):
-            return "data"
-    parts = statements(text)
-    shapes = numbered([_WORD.sub("w", _LITERAL.sub("0", p)) for p in parts])
-    if max(map(len, lines)) > MINIFIED_LINE:
-        code_lines = max(1, sum(1 for x in _COMMENTS.sub("", text).split("\n") if x.strip()))
-        if sum(map(len, parts)) / code_lines > MINIFIED_LINE and (len(parts) > code_lines * 6 or covered(*re_pair(shapes)) >= MINIFIED_REUSE):
-            return "minified"
-    return "generated" if repetitive(shapes) else None
+    return None
 
 
-def shared_rules(text: str) -> list[tuple[int, int]]:
+def named_project(path: str, head: str) -> str | None:
+    """The project, other than the repository, that a file's head names with a version."""
+    repo = path.split("/", 1)[0].lower()
+    if re.search(rf"\b{re.escape(repo)}\b", head.lower()):
+        return None
+    return next((g.lower() for m in _PROJECT.finditer(head) for g in m.groups() if g), None)
+
+
+def origin(path: str | None, text: str) -> str | None:
+    """generated, compiled, minified, vendored or data for a file not written by hand here, else null: grammars first, then marks."""
+    return by_grammar(text) or by_mark(path or "", text)
+
+
+def projects(path: str, text: str) -> tuple[str | None, str | None]:
+    """(sure, maybe): the other project that a file's folder or head names, and the one that a folder may name."""
+    sure = _FOLDERS.search(path)
+    name = sure[1].lower() if sure else named_project(path, _OPENING.match(text)[0])
+    maybe = _MAYBE.search(path)
+    return name, maybe[1].lower() if maybe and not sure else None
+
+
+def shared_rules(parts: list[str]) -> list[tuple[int, int]]:
     """(rule, characters): rules of a grammar parsed alike in every file, for comparing across files.
 
     Statements are hashed with their words; a rule ends where a hash is a local minimum, so equal
-    passages give equal rules wherever they stand. Short rules say nothing and are left out.
+    passages give equal rules wherever they stand (parsing that is locally consistent, where
+    Re-Pair's own rules depend on the whole text). Short rules say nothing and are left out.
     """
-    parts = statements(text)
     if len(parts) < SHARED_STATEMENTS:
         return []
     import xxhash
@@ -282,39 +337,53 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("rule", pa.int64()), ("chars", pa.int32())]))
     for b in batches:
         paths, texts = b.column(0).to_pylist(), b.column(2).to_pylist()
-        why, rules, chars = [], [], []
+        cols: list[list] = [[], [], [], [], [], []]
         for path, text in zip(paths, texts):
-            why.append(origin(path, text or ""))
-            found = shared_rules(text) if text else []
-            rules.append([{"rule": r, "chars": c} for r, c in found])
-            chars.append(sum(map(len, statements(text))) if found else 0)
-        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(why, pa.string()), pa.array(chars, pa.int32()), pa.array(rules, kind)], ["file_path", "ingested_at", "origin", "chars", "rules"])
+            text = text or ""
+            parts = statements(text)
+            grammar = by_grammar(text, parts)
+            # a mark says more of what a tool wrote than that it is repetitive
+            mark = by_mark(path, text) if grammar in (None, "generated") else None
+            found = shared_rules(parts)
+            row = (mark or grammar, "grammar" if grammar else "mark" if mark else None, *projects(path, text), sum(map(len, parts)) if found else 0, [{"rule": r, "chars": c} for r, c in found])
+            for col, x in zip(cols, row):
+                col.append(x)
+        types = (pa.string(), pa.string(), pa.string(), pa.string(), pa.int32(), kind)
+        yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *map(pa.array, cols, types)], ["file_path", "ingested_at", "origin", "decided_by", "project", "maybe", "chars", "rules"])
 
 
 def file_origins(nodes: DataFrame) -> DataFrame:
-    """(file_path, origin): every file, with null for what was written by hand here.
-
-    Texts are read where they lie; only rule hashes are shuffled. Files half of whose text is
-    rules that other repositories' files have too are ``copied``; files that a mark has flagged offer
-    their rules too, so a copy without a mark meets its marked twin. A rule of many files is spread
-    over ``SALTS`` tasks. A null or empty text is judged by its path alone; null paths give no
-    row; of repeated deliveries the newest holds.
+    """(file_path, origin, decided_by): every file, with null for what was written by hand here.
+
+    ``decided_by`` says what decided: the file's own ``grammar``, a ``mark``, the ``rules`` it
+    shares with other repositories, or the ``project`` that its folder names. Texts are read where
+    they lie; only rule hashes and names are shuffled. Files half of whose text is rules that other
+    repositories' files have too are ``copied``; flagged files offer their rules too, so a copy
+    without a mark meets its marked twin. A folder that may be the project's own (``deps``,
+    ``external``) counts as ``vendored`` if another repository has the project it names, in any
+    folder or head. A rule or name of many files is spread over tasks. A null or empty text is
+    judged by its path alone; null paths give no row; of repeated deliveries the newest holds.
     """
     texts = nodes.filter("kind = 'file' and file_path is not null").select("file_path", "ingested_at", "source_text")
-    schema = "file_path string, ingested_at timestamp, origin string, chars int, rules array<struct<rule: bigint, chars: int>>"
-    read = cut_lineage(texts.mapInArrow(_read, schema))  # hashes that two branches below use
+    schema = "file_path string, ingested_at timestamp, origin string, decided_by string, project string, maybe string, chars int, rules array<struct<rule: bigint, chars: int>>"
+    read = cut_lineage(texts.mapInArrow(_read, schema))  # hashes that the branches below use
     newest = F.struct(F.col("ingested_at").isNotNull(), "ingested_at")
-    read = read.groupBy("file_path").agg(F.max_by(F.struct("origin", "chars", "rules"), newest).alias("v")).select("file_path", "v.*")
+    read = read.groupBy("file_path").agg(F.max_by(F.struct("origin", "decided_by", "project", "maybe", "chars", "rules"), newest).alias("v")).select("file_path", "v.*")
     repo = F.substring_index("file_path", "/", 1)
     rows = read.filter("size(rules) > 0").select("file_path", repo.alias("repo"), "chars", F.explode("rules").alias("r")).select("file_path", "repo", "chars", F.col("r.rule").alias("rule"), F.col("r.chars").alias("part"))
-    common = rows.groupBy("rule").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b")
-    common = common.select("rule", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    salted = rows.withColumn("salt", F.pmod(F.xxhash64("file_path"), F.lit(SALTS)).cast("int"))
-    copied = salted.join(common, ["rule", "salt"]).groupBy("file_path").agg(F.sum("part").alias("part"), F.max("chars").alias("all"))
+    common = rows.groupBy("rule").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("rule")
+    copied = salted_join(rows, common, ["rule"]).groupBy("file_path").agg(F.sum("part").alias("part"), F.max("chars").alias("all"))
     copied = copied.filter(F.col("part") >= SHARED_PART * F.col("all")).select("file_path", F.lit("copied").alias("by_rule"))
-    return read.join(copied, "file_path", "left").select("file_path", F.coalesce("origin", "by_rule").alias("origin"))
+    named = read.select(F.coalesce("project", "maybe").alias("name"), repo.alias("repo")).filter("name is not null")
+    far = named.groupBy("name").agg(F.min("repo").alias("a"), F.max("repo").alias("b")).filter("a <> b").select("name")
+    maybe = read.filter("maybe is not null and origin is null").select("file_path", F.col("maybe").alias("name"))
+    maybe = salted_join(maybe, far, ["name"]).select("file_path", F.lit("vendored").alias("by_name"))
+    out = read.join(copied, "file_path", "left").join(maybe, "file_path", "left")
+    by = F.coalesce("decided_by", F.when(F.col("by_rule").isNotNull(), "rules"), F.when(F.col("by_name").isNotNull(), "project"))
+    told = F.when((F.col("origin") == "generated") & (F.col("decided_by") == "grammar"), F.coalesce("by_rule", "origin")).otherwise(F.col("origin"))
+    return out.select("file_path", F.coalesce(told, "by_rule", "by_name").alias("origin"), by.alias("decided_by"))
 
 
 def not_by_hand(nodes: DataFrame) -> DataFrame:
-    """file_origins of the generated, minified, compiled, vendored, copied and data files."""
-    return file_origins(nodes).filter("origin is not null")
+    """(file_path, origin) of the generated, minified, compiled, vendored, copied and data files."""
+    return file_origins(nodes).filter("origin is not null").select("file_path", "origin")

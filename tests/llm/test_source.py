@@ -252,6 +252,48 @@ def test_re_pair_restores_the_sequence():
     assert provenance.covered(*provenance.re_pair(list(range(50)))) == 0
 
 
+_NAMES = "alpha beta gamma delta eps zeta eta theta iota kappa lam mu nu xi omi pi rho sigma tau".split()
+UNMARKED = [
+    "".join(f"public static final int CODE_{k} = {k};\n" for k in range(100)),
+    "".join(f"public static final int CODE_{k} = {k};\n" for k in range(300)),
+    "".join(f"  public String get{x}() {{\n    return this.{x};\n  }}\n  public void set{x}(String value) {{\n    this.{x} = value;\n  }}\n" for x in _NAMES),
+    "".join(f"class {x}Request:\n    def __init__(self, a, b):\n        self.a = a\n        self.b = b\n    def to_dict(self):\n        return {{'a': self.a}}\n    @classmethod\n    def from_dict(cls, d):\n        return cls(d['a'], d['b'])\n" for x in _NAMES),
+    "func name(n int) string {\n\tswitch n {\n" + "".join(f'\tcase {k}:\n\t\treturn "value{k}"\n' for k in range(50)) + "\t}\n}\n",
+]
+SPOKEN = [
+    ("r/a.py", "# Summaries are generated from the nightly report.\nx = 1\n"),
+    ("r/a.js", "// Unsaved changes are lost on crash.\nconst a = 1;\n"),
+    ("acme/a.js", "// Copyright (c) 2021 Globex Corporation\n" + hand()),
+    ("r/a.go", "// Auto-generated ids are never reused.\npackage a\n"),
+    ("r/externals/pay/client.py", hand()),
+    ("r/deps/graph.py", hand()),
+    ("r/names/__init__.py", "from .m import (\n" + "".join(f"    {x}{k},\n" for k in range(9) for x in _NAMES) + ")\n"),
+]
+
+
+@pytest.mark.parametrize("text", UNMARKED)
+def test_unmarked_generated_text_is_found_by_its_grammar(text):
+    assert provenance.by_grammar(text) == "generated"
+
+
+@pytest.mark.parametrize("path, text", SPOKEN)
+def test_comments_and_folders_that_speak_of_other_things(path, text):
+    assert provenance.origin(path, text) is None
+
+
+def test_random_digits_are_data():
+    digits = [_R.randrange(10) for _ in range(900)]
+    assert provenance.by_grammar("t = [\n" + "".join("    " + ", ".join(map(str, digits[k : k + 30])) + ",\n" for k in range(0, 900, 30)) + "]\n") == "data"
+
+
+def test_a_folder_that_may_be_the_projects_own(spark):
+    nodes = spark.createDataFrame(
+        [file("r/external/lib/a.js", "javascript", hand(1)), file("r/external/pay/a.js", "javascript", hand(2)), file("s/vendor/lib/b.js", "javascript", hand(3)), file("s/src/c.js", "javascript", "/*! lib v1.2.3 | MIT License */\n" + hand(4))], NODES
+    )
+    got = {r.file_path: (r.origin, r.decided_by) for r in provenance.file_origins(nodes).collect()}
+    assert got == {"r/external/lib/a.js": ("vendored", "project"), "r/external/pay/a.js": (None, None), "s/vendor/lib/b.js": ("vendored", "mark"), "s/src/c.js": ("vendored", "mark")}
+
+
 def test_copies_across_repositories(spark):
     body = "".join(hand(k) for k in range(5))
     nodes = spark.createDataFrame([file("r/a.js", "javascript", "const own = 1;\n" + body), file("s/b.js", "javascript", body), file("r/c.js", "javascript", hand(99)), file("r/c.js", "javascript", hand(99)), file(None, "go", "x")], NODES)
