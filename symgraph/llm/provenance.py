@@ -145,8 +145,12 @@ def covered(rules: dict[int, tuple[int, int]], rest: list[int]) -> float:
 
 def statements(text: str) -> list[str]:
     """The statements of a text without comments: its lines, long ones cut after ; { and }."""
+    return split_statements(_COMMENTS.sub("", text))
+
+
+def split_statements(code: str) -> list[str]:
     out = []
-    for line in _COMMENTS.sub("", text).split("\n"):
+    for line in code.split("\n"):
         line = line.strip()
         if len(line) > MINIFIED_LINE:
             out += [s for s in (x.strip() for x in _BREAK.split(line)) if s]
@@ -260,9 +264,11 @@ def by_grammar(text: str, parts: list[str] | None = None) -> str | None:
     if len(units) >= BLOB_UNITS and chars >= BLOB_SHARE * (sum(map(len, text.split())) - text.count(",")) and incompressible(units):
         return "data"
     parts = statements(text) if parts is None else parts
-    shapes = numbered([_WORD.sub("w", _LITERAL.sub("0", p)) for p in parts])
+    code = _COMMENTS.sub("", text)
+    # a literal of several lines is part of one statement
+    shapes = numbered(split_statements(_WORD.sub("w", _LITERAL.sub("0", code))))
     if max(map(len, text.split("\n"))) > MINIFIED_LINE:
-        code_lines = max(1, sum(1 for x in _COMMENTS.sub("", text).split("\n") if x.strip()))
+        code_lines = max(1, sum(1 for x in code.split("\n") if x.strip()))
         if sum(map(len, parts)) / code_lines > MINIFIED_LINE and (len(parts) > code_lines * 6 or covered(*re_pair(shapes)) >= MINIFIED_REUSE):
             return "minified"
     return "generated" if repetitive(text, shapes) else None
