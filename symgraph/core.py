@@ -98,14 +98,15 @@ def hot_buckets(rows: DataFrame, keys: list[str], small: int = SMALL_BYTES) -> l
     return sorted(r["b"] for r in counts if r["n"] > SKEW * mean and r["n"] > SKEW_ROWS)
 
 
-def salted_join(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, small: int = SMALL_BYTES) -> DataFrame:
+def salted_join(rows: DataFrame, reduced: DataFrame, keys: list[str], how: str = "inner", salts: int = 64, small: int = SMALL_BYTES, hot: list[int] | None = None) -> DataFrame:
     """``rows`` joined with ``reduced`` on ``keys``, where one key may hold a third of all rows.
 
     Only the rows of hot buckets are salted: they go to ``salts`` tasks and the matching rows of
     ``reduced`` are copied as often. Without such buckets it is a plain join. The salt is a hash of
-    the row, the same when a lost task runs again. ``how``: inner or left.
+    the row, the same when a lost task runs again. ``how``: inner or left. Who joins the same rows
+    again and again finds the ``hot`` buckets once.
     """
-    hot = hot_buckets(rows, keys, small)
+    hot = hot_buckets(rows, keys, small) if hot is None else hot
     if not hot:
         return rows.join(reduced, keys, how)
     is_hot = key_bucket(keys).isin(hot)

@@ -71,6 +71,18 @@ def extract(files: DataFrame) -> DataFrame:
     return spread(files.filter("text is not null").select("file_path", "text", "language")).mapInArrow(_run, SCHEMA)
 
 
+def _calls(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [(p, *c) for p, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist()) for c in frameworks.api_calls(t)]
+        cols = list(zip(*rows)) or [()] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.string(), pa.string(), pa.int32(), pa.float64()))], ["file_path", "url", "method", "line", "confidence"])
+
+
+def calls_of(files: DataFrame) -> DataFrame:
+    """(file_path, url, method, line, confidence): the HTTP calls in texts (file_path, text)."""
+    return spread(files.filter("text is not null").select("file_path", "text")).mapInArrow(_calls, "file_path string, url string, method string, line int, confidence double")
+
+
 def nodes_of(extracted: DataFrame) -> DataFrame:
     return extracted.select("file_path", "language", F.explode("nodes").alias("n")).select("n.*", "file_path", "language")
 

@@ -9,7 +9,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from symgraph.core import group_limit
-from symgraph.functions.scalars import estimate_tokens
 from symgraph.operators import graph
 from symgraph.schemas import RELEVANCE_WEIGHTS, weight
 
@@ -68,9 +67,9 @@ def by_depth(found: DataFrame) -> DataFrame:
 
 
 def file_context(nodes: DataFrame, budget: int = 2000) -> DataFrame:
-    """(file_path, place, id): the symbols of every file that fit a budget, by pagerank."""
+    """(file_path, place, id): the symbols (id, kind, file_path, pagerank, tokens) of every file that fit a budget, by pagerank."""
     rank = F.coalesce(F.when(~F.isnan("pagerank"), F.col("pagerank")), F.lit(0.0))
-    n = nodes.filter("kind <> 'file'").withColumn("tokens", estimate_tokens(F.coalesce("source_text", "name"))).withColumn("rank", -rank)
+    n = nodes.filter("kind <> 'file'").withColumn("rank", -rank)
     return fold_budget(n, ["file_path"], [F.col("rank"), F.col("id")], "tokens", "id", budget)
 
 

@@ -7,14 +7,19 @@ come to the driver. Hub nodes are combined on the map side or spread over salts.
 
 from __future__ import annotations
 
+from collections import deque
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from symgraph.core import cut_lineage
+from symgraph.core import cut_lineage, hot_buckets, salted_join
 
 SALTS = 16
+WORKER_EDGES = 1_000_000  # pairs of ids that one Python worker labels, some 300 bytes each
 SOURCE_BLOCKS = 24
 WORKER_PAIRS = 8_000_000  # pairs that a Python worker holds, some 100 bytes each
 
@@ -67,65 +72,188 @@ def connecting_edges(found: DataFrame, edges: DataFrame) -> DataFrame:
     return first.select("id", "depth", F.col("f.kind").alias("kind"), F.col("f.near").alias("via"), (F.col("f.way") == 0).alias("outgoing"))
 
 
-def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, every: int = 5) -> DataFrame:
-    """(id, rank): PageRank over distinct pairs; dangling mass is spread evenly.
+def pagerank(nodes: DataFrame, edges: DataFrame, alpha: float = 0.85, max_iter: int = 100, tol: float = 1e-6, personal: DataFrame | None = None, retry: bool = True, in_worker: int = WORKER_EDGES) -> DataFrame:
+    """(id, rank): PageRank over distinct pairs.
+
+    The mass of nodes without outgoing edges, and the jumps, go to all nodes alike or, with
+    ``personal`` (id, weight), in proportion to the weights. ``tol`` 0 runs ``max_iter`` rounds;
+    else a round that moves the ranks by less than ``tol`` a node in sum is the last. If there is
+    none in time, ``retry`` goes on for twice as many rounds with a tolerance of 1e-4.
 
-    The sum of contributions per target is combined on the map side, so a hub target is cheap, and
-    a hub source's edges meet one rank row by a salted join. ``tol`` 0 runs ``max_iter`` rounds;
-    else it ends when the ranks move by less than ``tol`` a node in sum, checked every few rounds.
+    A graph of at most ``in_worker`` nodes and pairs is ranked in one Python worker. Of a larger
+    one each round is one plan: the sums per target are combined on the map side, so a hub target
+    is cheap, a hub source's pairs meet its rank by a salted join, and the result is written, so
+    that no plan grows. Both give the same ranks.
     """
     n = nodes.count()
     if not n:
         return nodes.select("id").withColumn("rank", F.lit(0.0))
-    deg = edges.groupBy(F.col("src").alias("id")).agg(F.count("*").alias("deg"))
-    base = cut_lineage(nodes.select("id").join(deg, "id", "left").fillna(0, ["deg"]))
+    if personal is None:
+        base = nodes.select("id", F.lit(1.0 / n).alias("jump"))
+    else:
+        p = personal.filter("weight > 0").groupBy("id").agg(F.sum("weight").alias("weight"))
+        total = p.join(nodes.select("id"), "id", "left_semi").agg(F.sum("weight")).first()[0]
+        if not total:
+            raise ValueError("no node has a positive weight")
+        base = nodes.select("id").join(p, "id", "left").select("id", F.coalesce(F.col("weight") / F.lit(total), F.lit(0.0)).alias("jump"))
     e = cut_lineage(edges.select(F.col("src").alias("id"), "dst"))
-    ranks = base.select("id", "deg", F.lit(1.0 / n).alias("rank"))
-    for k in range(1, max_iter + 1):
-        sums = e.join(ranks.filter("deg > 0").select("id", (F.col("rank") / F.col("deg")).alias("part")), "id").groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
+    last, loose = max_iter * (3 if retry and tol else 1), max_iter
+    if n <= in_worker and e.count() <= in_worker:
+        return _ranks_in_worker(base, e, alpha, last, loose, tol)
+    deg = e.groupBy("id").agg(F.count("*").alias("deg"))
+    base = cut_lineage(base.join(deg, "id", "left").fillna(0, ["deg"]))
+    hot = hot_buckets(e, ["id"])
+    ranks = base.withColumn("rank", F.lit(1.0 / n))
+    for k in range(1, last + 1):
+        parts = ranks.filter("deg > 0").select("id", (F.col("rank") / F.col("deg")).alias("part"))
+        sums = salted_join(e, parts, ["id"], hot=hot).groupBy(F.col("dst").alias("id")).agg(F.sum("part").alias("got"))
         lost = F.broadcast(ranks.agg(F.coalesce(F.sum(F.when(F.col("deg") == 0, F.col("rank"))), F.lit(0.0)).alias("lost")))  # one row
-        new = base.join(sums, "id", "left").crossJoin(lost).select("id", "deg", (F.lit((1 - alpha) / n) + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / n)).alias("rank"))
-        if k % every == 0 or k == max_iter:
-            new = cut_lineage(new)
-            if tol:
-                moved = new.alias("a").join(ranks.select("id", F.col("rank").alias("old")).alias("b"), "id").agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0]
-                if moved is not None and moved < n * tol:
-                    return new.select("id", "rank")
-        ranks = new
+        new = ranks.withColumnRenamed("rank", "old").join(sums, "id", "left").crossJoin(lost)
+        new = cut_lineage(new.select("id", "jump", "deg", "old", ((1 - alpha) * F.col("jump") + alpha * (F.coalesce("got", F.lit(0.0)) + F.col("lost") * F.col("jump"))).alias("rank")))
+        ranks = new.drop("old")
+        if tol and new.agg(F.sum(F.abs(F.col("rank") - F.col("old")))).first()[0] < n * (tol if k <= loose else 1e-4):
+            break
     return ranks.select("id", "rank")
 
 
-def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def _ranks_in_worker(base: DataFrame, e: DataFrame, alpha: float, last: int, loose: int, tol: float) -> DataFrame:
+    rows = base.select("id", F.lit(None).cast("string").alias("dst"), "jump").unionByName(e.select("id", "dst", F.lit(None).cast("double").alias("jump")))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), pa.schema([("id", pa.string()), ("dst", pa.string()), ("jump", pa.float64())]))
+        is_node = pc.is_valid(t["jump"])
+        ids, pairs = t.filter(is_node), t.filter(pc.invert(is_node))
+        names = ids["id"].combine_chunks()
+        jump, n = ids["jump"].to_numpy(), len(names)
+        a, b = (pc.index_in(pairs[c].combine_chunks(), names) for c in ("id", "dst"))
+        known = pc.and_(pc.is_valid(a), pc.is_valid(b))
+        a, b = (x.filter(known).to_numpy(zero_copy_only=False).astype(np.int64) for x in (a, b))
+        deg = np.bincount(a, minlength=n)
+        rank = np.full(n, 1.0 / n)
+        for k in range(1, last + 1):
+            got = np.bincount(b, rank[a] / deg[a], n)
+            new = (1 - alpha) * jump + alpha * (got + rank[deg == 0].sum() * jump)
+            moved, rank = np.abs(new - rank).sum(), new
+            if tol and moved < n * (tol if k <= loose else 1e-4):
+                break
+        yield pa.RecordBatch.from_arrays([names, pa.array(rank)], ["id", "rank"])
+
+    return rows.coalesce(1).mapInArrow(run, "id string, rank double")
+
+
+def _in_worker(nodes: DataFrame, e: DataFrame, label) -> DataFrame:
+    """(id, component) from a graph of bounded size, labelled in one Python worker; nodes without pairs stand alone."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        t = pa.Table.from_batches(list(batches), pa.schema([("src", pa.string()), ("dst", pa.string())]))
+        names = pc.unique(pa.concat_arrays([pa.array([], pa.string()), *t["src"].chunks, *t["dst"].chunks])).sort()  # numbers in the order of the ids
+        a, b = (pc.index_in(t[c].combine_chunks(), names).to_numpy(zero_copy_only=False) for c in ("src", "dst"))
+        yield pa.RecordBatch.from_arrays([names, names.take(pa.array(label(len(names), a, b), pa.int64()))], ["id", "component"])
+
+    got = e.select("src", "dst").coalesce(1).mapInArrow(run, "id string, component string")
+    return nodes.select("id").distinct().join(got, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+
+
+def _weak_labels(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The least node of each node's weak component, by minima over pairs and pointer jumping."""
+    label = np.arange(n)
+    while True:
+        before = label.copy()
+        low = np.minimum(label[a], label[b])
+        for x in (a, b, before[a], before[b]):
+            np.minimum.at(label, x, low)
+        label = label[label]
+        if np.array_equal(label, before):
+            return label
+
+
+def _by_tail(n: int, a: np.ndarray, b: np.ndarray) -> tuple[list[int], list[int]]:
+    """(first, heads): the pairs sorted by tail; node k's heads are heads[first[k]:first[k + 1]]."""
+    return np.concatenate([[0], np.cumsum(np.bincount(a, minlength=n))]).tolist(), b[np.argsort(a, kind="stable")].tolist()
+
+
+def _strong_labels(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """The least node of each node's strong component (Tarjan's algorithm with a stack of its own)."""
+    first, heads = _by_tail(n, a, b)
+    place, low, label, path, count = [-1] * n, [0] * n, [-1] * n, [], 0
+    for root in range(n):
+        if place[root] >= 0:
+            continue
+        place[root] = low[root] = count
+        count += 1
+        path.append(root)
+        work = [(root, first[root])]
+        while work:
+            v, k = work.pop()
+            if k < first[v + 1]:
+                work.append((v, k + 1))
+                w = heads[k]
+                if place[w] < 0:
+                    place[w] = low[w] = count
+                    count += 1
+                    path.append(w)
+                    work.append((w, first[w]))
+                elif label[w] < 0:
+                    low[v] = min(low[v], place[w])
+                continue
+            if low[v] == place[v]:
+                members = []
+                while True:
+                    w = path.pop()
+                    members.append(w)
+                    if w == v:
+                        break
+                least = min(members)
+                for w in members:
+                    label[w] = least
+            if work:
+                u = work[-1][0]
+                low[u] = min(low[u], low[v])
+    return label
+
+
+def components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, in_worker: int = WORKER_EDGES) -> DataFrame:
     """(id, component): weakly connected components, named by their least id.
 
-    Alternating large-star and small-star rounds: pairs shrink towards stars at the least id in a
-    number of rounds that is logarithmic in a component's diameter. Each star is a minimum per
-    node, combined on the map side, joined back to the node's pairs.
+    Up to ``in_worker`` pairs are labelled in one Python worker. More go through alternating
+    large-star and small-star rounds: pairs shrink towards stars at the least id in a number of
+    rounds that is logarithmic in a component's diameter. Each star is a minimum per node,
+    combined on the map side and joined back to the node's pairs, a centre's by a salted join. A
+    round writes its pairs once; it is the last if their number and hash sums stay as they were.
+    More than ``max_rounds`` rounds are an error, never an unfinished answer.
     """
     pairs = cut_lineage(edges.filter("src <> dst").select(F.greatest("src", "dst").alias("a"), F.least("src", "dst").alias("b")).distinct())
+    if pairs.count() <= in_worker:
+        return _in_worker(nodes, pairs.select(F.col("a").alias("src"), F.col("b").alias("dst")), _weak_labels)
+    print_of = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))).first()
+    mark = print_of(pairs)
     for _ in range(max_rounds):
         sym = pairs.unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = sym.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-        large = sym.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
-        low = large.filter("b < a")
+        large = salted_join(sym.filter("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        low = cut_lineage(large.filter("b < a"))
         m = low.groupBy("a").agg(F.min("b").alias("m"))
-        small = low.join(m, "a").select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
-        small = cut_lineage(small)
-        same = small.count() == pairs.count() and small.join(pairs, ["a", "b"], "left_anti").isEmpty()
-        pairs = small
-        if same:
+        small = salted_join(low, m, ["a"]).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).filter("a <> b").distinct()
+        pairs, before = cut_lineage(small), mark
+        mark = print_of(pairs)
+        if mark == before:
             break
-    return nodes.select("id").join(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    else:
+        raise RuntimeError(f"components are not finished after {max_rounds} rounds")
+    return nodes.select("id").distinct().join(pairs.groupBy(F.col("a").alias("id")).agg(F.min("b").alias("component")), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200) -> DataFrame:
-    """(id, component): strongly connected components by forward and backward colouring.
+def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200, in_worker: int = WORKER_EDGES) -> DataFrame:
+    """(id, component): strongly connected components, named by their least id.
 
-    Only the cyclic core can hold components of several nodes. Each round gives every node of the
-    core the least id that reaches it (its colour); the nodes of a colour that reach its root back
-    are one component and leave, then the core shrinks again. All other nodes stand alone.
+    Up to ``in_worker`` pairs are labelled in one Python worker. Of more, only the cyclic core can
+    hold components of several nodes: each round gives every node of the core the least id that
+    reaches it (its colour); the nodes of a colour that reach its root back are one component and
+    leave, then the core shrinks again. All other nodes stand alone.
     """
-    pairs, done = edges.filter("src <> dst").select("src", "dst"), None
+    pairs, done = cut_lineage(edges.filter("src <> dst").select("src", "dst").distinct()), None
+    if pairs.count() <= in_worker:
+        return _in_worker(nodes, pairs, _strong_labels)
     for _ in range(max_rounds):
         core = cyclic_core(pairs)
         ids = core.select(F.col("src").alias("id")).distinct()
@@ -134,17 +262,18 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200)
             break
         while True:
             got = core.join(colour.select(F.col("id").alias("src"), "c"), "src").groupBy(F.col("dst").alias("id")).agg(F.min("c").alias("g"))
-            new = cut_lineage(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("g", "c")).alias("c")))
-            if new.join(colour, ["id", "c"], "left_anti").isEmpty():
+            new = cut_lineage(colour.join(got, "id", "left").select("id", F.least("c", F.coalesce("g", "c")).alias("c"), (F.col("g") < F.col("c")).alias("moved")))
+            if new.filter("moved").isEmpty():
                 break
-            colour = new
+            colour = new.drop("moved")
         found = cut_lineage(colour.filter("id = c"))
+        near = found
         while True:
-            back = core.join(found.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
-            more = cut_lineage(back.join(colour, ["id", "c"], "left_semi").join(found, ["id", "c"], "left_anti"))
-            if more.isEmpty():
+            back = core.join(near.select(F.col("id").alias("dst"), "c"), "dst").select(F.col("src").alias("id"), "c").distinct()
+            near = cut_lineage(back.join(colour, ["id", "c"], "left_semi").join(found, ["id", "c"], "left_anti"))
+            if near.isEmpty():
                 break
-            found = cut_lineage(found.unionByName(more))
+            found = cut_lineage(found.unionByName(near))
         done = found if done is None else done.unionByName(found)
         pairs = core.join(found.select(F.col("id").alias("src")), "src", "left_anti").join(found.select(F.col("id").alias("dst")), "dst", "left_anti").select("src", "dst")
     else:
@@ -153,6 +282,16 @@ def strong_components(nodes: DataFrame, edges: DataFrame, max_rounds: int = 200)
     return n.select("id", F.col("id").alias("component")) if done is None else n.join(done, "id", "left").select("id", F.coalesce("c", "id").alias("component"))
 
 
+def is_dag(nodes: DataFrame, edges: DataFrame, in_worker: int = WORKER_EDGES) -> bool:
+    """Whether no path leads back to where it began (a loop is such a path)."""
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    if not e.filter("src = dst").isEmpty():
+        return False
+    if e.count() > in_worker:
+        return cyclic_core(e).isEmpty()
+    return strong_components(nodes, e, in_worker=in_worker).filter("id <> component").isEmpty()
+
+
 def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     """The edges left when nodes without an incoming edge are peeled again and again; none: the graph is acyclic."""
     e = cut_lineage(edges.select("src", "dst").distinct())
@@ -166,23 +305,113 @@ def cyclic_core(edges: DataFrame, max_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"more than {max_rounds} rounds")
 
 
-def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 10) -> DataFrame:
-    """(id, community): label propagation over undirected pairs; isolated nodes have none.
+def communities(nodes: DataFrame, edges: DataFrame, rounds: int = 100, in_worker: int = WORKER_EDGES) -> DataFrame:
+    """(id, community, size): communities of the undirected graph, largest first (numbered from 0); isolated nodes have none.
 
-    Synchronous rounds; each node takes the most frequent label around it, its own one counted
-    too, the least of equals. Counts per (node, label) are combined on the map side.
+    Up to ``in_worker`` pairs: moves of single nodes that raise the modularity, refined so that
+    every community is connected, then the same on the graph of communities, until nothing moves
+    (Leiden's scheme, nodes in the order of their ids, so the answer is always the same). More
+    pairs: ``label_propagation``.
     """
-    e = edges.filter("src <> dst").select(F.least("src", "dst").alias("a"), F.greatest("src", "dst").alias("b")).distinct()
-    sym = cut_lineage(e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b"))))
-    labels = cut_lineage(sym.select(F.col("a").alias("id")).distinct().withColumn("label", F.col("id")))
+    e = cut_lineage(edges.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct())
+    if e.count() <= in_worker:
+        on = e.select(F.explode(F.array("src", "dst")).alias("id")).distinct()
+        labels = _in_worker(on, e, _modular_labels).withColumnRenamed("component", "label")
+    else:
+        labels = label_propagation(e, rounds)
+    labels = cut_lineage(labels)
+    sizes = labels.groupBy("label").agg(F.count("*").alias("size"))
+    # one row a community, ordered by range partitions, numbered by their counts before
+    ordered = cut_lineage(sizes.repartitionByRange(F.col("size").desc(), "label").sortWithinPartitions(F.col("size").desc(), "label").withColumn("p", F.spark_partition_id()))
+    before = ordered.groupBy("p").agg(F.count("*").alias("k")).select("p", F.coalesce(F.sum("k").over(Window.orderBy("p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))  # a row a partition
+    numbered = ordered.join(F.broadcast(before), "p").select("label", "size", (F.col("base") + F.row_number().over(Window.partitionBy("p").orderBy(F.col("size").desc(), "label")) - 1).alias("community"))
+    return salted_join(labels, numbered, ["label"]).select("id", "community", "size")
+
+
+def _modular_labels(n: int, a: np.ndarray, b: np.ndarray) -> list[int]:
+    """A community of each node (its least node) by local moves of modularity, refined and repeated on the communities."""
+    links: list[dict[int, float]] = [{} for _ in range(n)]
+    for x, y in zip(a.tolist(), b.tolist()):
+        links[x][y] = links[x].get(y, 0.0) + 1.0
+        links[y][x] = links[y].get(x, 0.0) + 1.0
+    total = 2.0 * len(a)
+    top = list(range(n))  # the node of the present graph that each node of the first one belongs to
+    own = [0.0] * n  # twice the weight inside
+    while True:
+        m = len(links)
+        degree = [sum(v.values()) + w for v, w in zip(links, own)]
+        label, weight = list(range(m)), degree[:]
+        queue, queued = deque(range(m)), [True] * m
+        while queue:
+            v = queue.popleft()
+            queued[v] = False
+            near: dict[int, float] = {}
+            for w, x in links[v].items():
+                near[label[w]] = near.get(label[w], 0.0) + x
+            old, d = label[v], degree[v]
+            weight[old] -= d
+            best, gain = old, near.get(old, 0.0) - weight[old] * d / total
+            for c in sorted(near):
+                g = near[c] - weight[c] * d / total
+                if g > gain + 1e-12:
+                    best, gain = c, g
+            weight[best] += d
+            if best != old:
+                label[v] = best
+                for w in links[v]:
+                    if not queued[w] and label[w] != best:
+                        queued[w] = True
+                        queue.append(w)
+        # a community that its moves left in several pieces is parted into them
+        piece, found = [-1] * m, 0
+        for v in range(m):
+            if piece[v] < 0:
+                piece[v], work = found, [v]
+                while work:
+                    u = work.pop()
+                    for w in links[u]:
+                        if piece[w] < 0 and label[w] == label[v]:
+                            piece[w] = found
+                            work.append(w)
+                found += 1
+        if found == m:
+            break
+        merged: list[dict[int, float]] = [{} for _ in range(found)]
+        inside = [0.0] * found
+        for v in range(m):
+            p = piece[v]
+            inside[p] += own[v]
+            for w, x in links[v].items():
+                if piece[w] == p:
+                    inside[p] += x
+                else:
+                    merged[p][piece[w]] = merged[p].get(piece[w], 0.0) + x
+        top, links, own = [piece[t] for t in top], merged, inside
+    least: dict[int, int] = {}
+    for v, t in enumerate(top):
+        least.setdefault(t, v)
+    return [least[t] for t in top]
+
+
+def label_propagation(edges: DataFrame, rounds: int = 100) -> DataFrame:
+    """(id, label): label propagation over undirected distinct pairs until no label moves or ``rounds`` are done.
+
+    Synchronous rounds, which may swing between two states for ever, hence the bound; each node
+    takes the most frequent label around it, its own one counted too, the least of equals. Counts
+    per (node, label) are combined on the map side; a hub's label goes to its pairs by a salted join.
+    """
+    sym = cut_lineage(edges.select(F.col("src").alias("a"), F.col("dst").alias("id")).unionByName(edges.select(F.col("dst").alias("a"), F.col("src").alias("id"))))
+    hot = hot_buckets(sym, ["id"])
+    labels = cut_lineage(sym.select("id").distinct().withColumn("label", F.col("id")))
     for _ in range(rounds):
-        votes = sym.join(labels.select(F.col("id").alias("b"), "label"), "b").select(F.col("a").alias("id"), "label").unionByName(labels)
+        votes = salted_join(sym, labels, ["id"], hot=hot).select(F.col("a").alias("id"), "label").unionByName(labels.select("id", "label"))
         counts = votes.groupBy("id", "label").agg(F.count("*").alias("n"))
-        new = cut_lineage(counts.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label")))
-        if new.join(labels, ["id", "label"], "left_anti").isEmpty():
+        new = counts.groupBy("id").agg(F.min(F.struct((-F.col("n")).alias("n"), "label"))["label"].alias("label"))
+        new = cut_lineage(new.join(labels.withColumnRenamed("label", "old"), "id"))
+        if new.filter("label <> old").isEmpty():
             break
-        labels = new
-    return labels.select("id", F.col("label").alias("community"))
+        labels = new.select("id", "label")
+    return labels.select("id", "label")
 
 
 def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
@@ -196,28 +425,51 @@ def modularity(edges: DataFrame, labels: DataFrame) -> DataFrame:
     return y.agg(F.sum(F.col("inside") / F.col("m") - F.pow(F.col("deg") / (2 * F.col("m")), 2)).alias("modularity"))
 
 
-def shortest_path(edges: DataFrame, src: str, dst: str, max_depth: int = 50) -> list[str] | None:
-    """The nodes of a shortest directed path (of equal ones by least parents), or null if there is none.
+def shortest_path(edges: DataFrame, src: str, dst: str, in_worker: int = WORKER_EDGES) -> list[str] | None:
+    """The nodes of a shortest directed path (of equal ones by least parents), or null if there is none, however long.
 
-    Breadth first with a parent per node; only the path itself, one node a level, comes to the driver.
+    Breadth first with a parent per node, up to ``in_worker`` pairs in one Python worker, else level
+    by level in tables; only the path itself, one node a level, comes to the driver.
     """
-    spark = edges.sparkSession
-    seen = cut_lineage(spark.createDataFrame([(src, None, 0)], "id string, parent string, depth int"))
-    frontier = seen
-    for depth in range(1, max_depth + 1):
-        if not frontier.filter(F.col("id") == dst).isEmpty():
-            break
-        step = edges.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
+    if src == dst:
+        return [src]
+    e = cut_lineage(edges.select("src", "dst").distinct())
+    if e.count() <= in_worker:
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            near: dict[str, list[str]] = {}
+            for b in batches:
+                for x, y in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                    near.setdefault(x, []).append(y)
+            parent, level = {src: None}, [src]
+            while level and dst not in parent:
+                step: dict[str, str] = {}
+                for v in sorted(level):
+                    for w in near.get(v, ()):
+                        if w not in parent:
+                            step.setdefault(w, v)
+                parent |= step
+                level = list(step)
+            path, at = [], dst if dst in parent else None
+            while at is not None:
+                path.append(at)
+                at = parent[at]
+            yield pa.RecordBatch.from_arrays([pa.array([path[::-1]], pa.list_(pa.string()))], ["path"])
+
+        rows = e.coalesce(1).mapInArrow(run, "path array<string>").collect()  # one row
+        return (list(rows[0]["path"]) or None) if rows else None
+    seen = cut_lineage(edges.sparkSession.createDataFrame([(src, None, 0)], "id string, parent string, depth int"))
+    frontier, depth = seen, 0
+    while frontier.filter(F.col("id") == dst).isEmpty():
+        depth += 1
+        step = e.join(frontier.select(F.col("id").alias("src")), "src").groupBy(F.col("dst").alias("id")).agg(F.min("src").alias("parent"))
         frontier = cut_lineage(step.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             return None
         seen = cut_lineage(seen.unionByName(frontier))
     path, at = [dst], dst
     while at != src:
-        row = seen.filter(F.col("id") == at).select("parent").first()
-        if row is None or row[0] is None:
-            return None
-        at = row[0]
+        at = seen.filter(F.col("id") == at).select("parent").first()[0]
         path.append(at)
     return path[::-1]
 

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from symgraph.core import group_limit, keep_last
+from symgraph.core import cut_lineage, group_limit, keep_last
 from symgraph.schemas import ENTRY_WEIGHTS, STYLE_KINDS, weight
 
+BROADCAST_ROWS = 200_000  # keys that may be broadcast; more are joined by a shuffle
 LIGHT = ["id", "kind", "name", "qualified_name", "file_path", "start_line", "end_line", "language", "pagerank", "community_id"]
 
 
@@ -18,6 +19,28 @@ def current_nodes(nodes: DataFrame, columns: list[str] | None = None) -> DataFra
     return keep_last(src, ["id"], [F.col("ingested_at")]).filter("removed_at is null").select(*cols)
 
 
+def current_texts(nodes: DataFrame, kind: str = "file", columns: tuple[str, ...] = ("id", "file_path", "language"), most: int = BROADCAST_ROWS) -> DataFrame:
+    """(columns, text): the newest delivery of each node of a kind that was not removed and has a text.
+
+    The newest deliveries are found on narrow columns; texts are read in place and only those of
+    superseded and removed deliveries are taken out, by a broadcast of their keys up to ``most`` of
+    them and by a join beyond. Only texts that one and the same time was given to twice are
+    compared with each other.
+    """
+    n = nodes.filter(F.col("kind") == kind)
+    when = F.coalesce(F.col("ingested_at"), F.to_timestamp(F.lit("0001-01-01"))).alias("at")
+    rows = n.select("id", when, F.col("removed_at").isNotNull().alias("gone"))
+    newest = rows.groupBy("id").agg(F.max("at").alias("last"))
+    per_time = rows.groupBy("id", "at").agg(F.max("gone").alias("gone"), F.count("*").alias("times"))
+    out = cut_lineage(per_time.join(newest, "id").filter("at < last or gone or times > 1").select("id", "at", ((F.col("at") == F.col("last")) & ~F.col("gone")).alias("twice")))
+    few = out.count() <= most
+    keyed = n.filter("source_text is not null").select(*dict.fromkeys(("id", *columns)), F.col("source_text").alias("text"), when)
+    kept = keyed.join(F.broadcast(out) if few else out, ["id", "at"], "left_anti")
+    again = out.filter("twice").select("id", "at")
+    twice = keyed.join(F.broadcast(again) if few else again, ["id", "at"]).dropDuplicates(["id"])
+    return kept.unionByName(twice).select(*columns, "text")
+
+
 def current_edges(edges: DataFrame) -> DataFrame:
     """The last delivery of each (source, target, kind); references that are null or empty are no edges."""
     src = edges.filter("source_id <> '' and target_id <> ''")

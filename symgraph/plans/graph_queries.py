@@ -79,24 +79,25 @@ def gr04_pagerank_k10(s, d):
     return graph.pagerank(n, g, max_iter=10, tol=0).select("id", F.round("rank", 10).alias("rank"))
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE {G}, b AS (SELECT src, dst FROM g UNION SELECT dst, src FROM g),
+    c(id, component) USING KEY (id) AS (SELECT id, id FROM n UNION SELECT b.dst, min(w.component) FROM c w JOIN b ON b.src = w.id JOIN recurring.c o ON o.id = b.dst WHERE w.component < o.component GROUP BY 1)
+    SELECT id, component FROM c""")
 def gr12_components(s, d):
-    n, g = _graph(s, d)
-    c = graph.components(n, g).groupBy("component").agg(F.count("*").alias("k"))
-    return c.agg(F.count("*").alias("components"), F.max("k").alias("largest"))
+    return graph.components(*_graph(s, d))
 
 
-@R.query()
+_STRONG = f"""WITH RECURSIVE {G}, r(a, b) AS (SELECT src, dst FROM g WHERE src <> dst UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b),
+    m AS (SELECT x.a AS id, min(x.b) AS component FROM r x JOIN r y ON x.a = y.b AND x.b = y.a GROUP BY 1)"""
+
+
+@R.query(_STRONG + " SELECT n.id, least(n.id, coalesce(m.component, n.id)) AS component FROM n LEFT JOIN m USING (id)")
 def gr13_strong_components(s, d):
-    n, g = _graph(s, d)
-    c = graph.strong_components(n, g).groupBy("component").agg(F.count("*").alias("k"))
-    return c.agg(F.count("*").alias("components"), F.max("k").alias("largest"))
+    return graph.strong_components(*_graph(s, d))
 
 
-@R.query()
+@R.query(f"""WITH RECURSIVE {G}, r(a, b) AS (SELECT src, dst FROM g UNION SELECT r.a, g.dst FROM r JOIN g ON g.src = r.b) SELECT count(*) = 0 AS is_dag FROM r WHERE a = b""")
 def gr14_is_dag(s, d):
-    _, g = _graph(s, d)
-    return graph.cyclic_core(g).agg((F.count("*") == 0).alias("is_dag"))
+    return s.createDataFrame([(graph.is_dag(*_graph(s, d)),)], "is_dag boolean")
 
 
 @R.query(f"""WITH {G}, i AS (SELECT dst AS id, count(*) AS c FROM g GROUP BY 1), o AS (SELECT src AS id, count(*) AS c FROM g GROUP BY 1)
@@ -125,10 +126,32 @@ def gr09_two_cycles(s, d):
     return c.select(F.col("cycle")[0].alias("a"), F.col("cycle")[1].alias("b"))
 
 
+@R.query(f"""WITH RECURSIVE {G}, x AS (SELECT DISTINCT src, dst FROM g WHERE least(src, dst) IN (SELECT id FROM n)), w(path, src, dst) AS (SELECT [src], src, dst FROM x WHERE dst >= src
+      UNION ALL SELECT list_append(w.path, x.src), x.src, x.dst FROM w JOIN x ON x.src = w.dst WHERE w.dst > w.path[1] AND NOT list_contains(w.path, w.dst) AND x.dst >= w.path[1] AND len(w.path) < 4)
+    SELECT path[1] AS root, len(path)::INT AS length, array_to_string(path, ' > ') AS cycle FROM w WHERE dst = path[1]""")
+def gr09_cycles(s, d):
+    """All simple cycles of up to four nodes."""
+    _, g = _graph(s, d)
+    return graph.simple_cycles(g, 4, None).select(F.col("cycle")[0].alias("root"), "length", F.array_join("cycle", " > ").alias("cycle"))
+
+
+@R.query()
+def gr09_first_cycles(s, d):
+    """The hundred shortest simple cycles of up to ten nodes."""
+    _, g = _graph(s, d)
+    return graph.simple_cycles(g, 10, 100).select("length", F.array_join("cycle", " > ").alias("cycle"))
+
+
 @R.query()
 def gr06_communities(s, d):
-    n, g = _graph(s, d)
-    return graph.communities(n, g)
+    return graph.communities(*_graph(s, d))
+
+
+@R.query()
+def gr06_label_propagation(s, d):
+    _, g = _graph(s, d)
+    e = g.filter("src <> dst").select(F.least("src", "dst").alias("src"), F.greatest("src", "dst").alias("dst")).distinct()
+    return graph.label_propagation(e)
 
 
 @R.query()
@@ -137,6 +160,15 @@ def gr06_modularity(s, d):
     return graph.modularity(g, graph.communities(n, g))
 
 
+@R.query(f"""WITH {G}, {_SEED}, c AS (SELECT count(*)::DOUBLE AS c FROM n), o AS (SELECT src, count(*) AS deg FROM g GROUP BY 1), b AS (SELECT id, coalesce(deg, 0) AS deg, CASE WHEN id = (SELECT id FROM seed) THEN 1.0 ELSE 0.0 END::DOUBLE AS j FROM n LEFT JOIN o ON src = id),
+    r0 AS (SELECT id, 1.0 / c AS rank FROM b, c), """ + ", ".join(f"""r{k} AS MATERIALIZED (SELECT b.id, 0.15 * j + 0.85 * (coalesce(got, 0) + lost * j) AS rank FROM b CROSS JOIN (SELECT coalesce(sum(rank) FILTER (deg = 0), 0) AS lost FROM r{k - 1} JOIN b USING (id))
+        LEFT JOIN (SELECT dst AS id, sum(rank / deg) AS got FROM g JOIN r{k - 1} p ON p.id = src JOIN b ON b.id = src GROUP BY 1) x USING (id))""" for k in range(1, 6)) + " SELECT id, round(rank, 10) AS rank FROM r5")
+def gr04_personalised(s, d):
+    """Five rounds with all jumps to the node of the highest in-degree."""
+    n, g = _graph(s, d)
+    return graph.pagerank(n, g, max_iter=5, tol=0, personal=_seed(g).withColumn("weight", F.lit(1.0))).select("id", F.round("rank", 10).alias("rank"))
+
+
 def _betweenness(n, g, exact: int = 10_000, k: int = 500):
     """(id, betweenness) from all sources up to ``exact`` nodes, from ``k`` seeded ones above; normalised.
 
@@ -157,10 +189,11 @@ def gr05_betweenness(s, d):
     return _betweenness(*_graph(s, d))
 
 
-@R.query(f"""WITH RECURSIVE {G}, {_SEED}, far AS (SELECT max(src) AS id FROM g), w(id, depth) AS (SELECT id, 0 FROM far UNION SELECT dst, depth + 1 FROM w JOIN g ON src = id WHERE depth < 8)
-    SELECT CASE WHEN count(*) = 0 THEN -1 ELSE min(depth) END::INT AS steps FROM w WHERE id = (SELECT id FROM seed)""")
+@R.query(f"""WITH RECURSIVE {G}, {_SEED}, far AS (SELECT max(src) AS id FROM g),
+    w(id, depth) USING KEY (id) AS (SELECT id, 0 FROM far UNION SELECT dst, min(w.depth) + 1 FROM w JOIN g ON src = w.id WHERE NOT EXISTS (SELECT 1 FROM recurring.w o WHERE o.id = dst) GROUP BY 1)
+    SELECT coalesce((SELECT depth FROM w WHERE id = (SELECT id FROM seed)), -1)::INT AS steps""")
 def gr08_shortest_path(s, d):
     _, g = _graph(s, d)
     ends = g.agg(F.max("src")).first()[0], (_seed(g).first() or [None])[0]
-    path = graph.shortest_path(g, *ends, max_depth=8) if None not in ends else None
+    path = graph.shortest_path(g, *ends) if None not in ends else None
     return s.createDataFrame([(len(path) - 1 if path else -1,)], "steps int")

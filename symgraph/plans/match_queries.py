@@ -172,15 +172,13 @@ def se06_remove_vectors(s, d):
     x AS (SELECT id, l, list_position(list_transform(l, lambda y: contains(lower(y), 'panic')), true)::INT AS line FROM t)
     SELECT id, line, l[line] AS code, array_to_string(l[greatest(line - 3, 1):line + 3], chr(10)) AS around FROM x WHERE line > 0""")
 def se11_grep(s, d):
-    n = _nodes(s, d, "id", "kind", "source_text").filter("kind = 'file'")
-    return search.grep(n, "id", "source_text", "panic")
+    return search.grep(store.current_texts(table(s, d, "nodes"), columns=("id",)), "id", "text", "panic")
 
 
 @R.query(f"""WITH {N}, t AS (SELECT id, str_split(source_text, chr(10)) AS l FROM n WHERE kind = 'file' AND regexp_matches(source_text, 'return \\[\\$?\\w+, \\d+')),
     x AS (SELECT id, l, list_position(list_transform(l, lambda y: regexp_matches(y, 'return \\[\\$?\\w+, \\d+')), true)::INT AS line FROM t) SELECT id, line, l[line] AS code FROM x WHERE line > 0""")
 def se12_grep_regex(s, d):
-    n = _nodes(s, d, "id", "kind", "source_text").filter("kind = 'file'")
-    return search.grep(n, "id", "source_text", r"return \[\$?\w+, \d+", regex=True).select("id", "line", "code")
+    return search.grep(store.current_texts(table(s, d, "nodes"), columns=("id",)), "id", "text", r"return \[\$?\w+, \d+", regex=True).select("id", "line", "code")
 
 
 _COMMITS = """c AS (SELECT l_orderkey AS hash, 'a' || (o_custkey % 40) AS author, o_orderdate AS date, 'part/' || l_partkey AS path, l_quantity AS added, l_linenumber AS deleted

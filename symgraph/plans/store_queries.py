@@ -90,9 +90,9 @@ def flt12_first_per_kind(s, d):
     return group_limit(nodes(s, d, "id", "kind", "language"), ["kind", "language"], [F.col("id")], 50)
 
 
-@R.query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase' AND user_id % 7 = 3 ORDER BY ts DESC, event_id LIMIT 100")
+@R.query("SELECT event_id, user_id FROM events WHERE event_type = 'purchase' ORDER BY ts DESC, event_id LIMIT 100")
 def flt13_events(s, d):
-    return table(s, d, "events").filter("event_type = 'purchase' and user_id % 7 = 3").orderBy(F.col("ts").desc(), "event_id").limit(100).select("event_id", "user_id")
+    return table(s, d, "events").filter("event_type = 'purchase'").orderBy(F.col("ts").desc(), "event_id").limit(100).select("event_id", "user_id")
 
 
 @R.query("SELECT doc_id, source FROM documents WHERE source IN ('session_note', 'commit_message') AND created_at IS NOT NULL ORDER BY created_at DESC, doc_id LIMIT 50")

@@ -1,6 +1,7 @@
 import itertools
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -143,3 +144,61 @@ def test_betweenness_query_takes_all_sources_and_depths(spark):
     assert got == pytest.approx({v: k * (29 - k) / (29 * 28) for k, v in enumerate(n)})
     some = {r.id: r.betweenness for r in _betweenness(nodes, edges, exact=10, k=6).collect()}
     assert sum(v > 0 for v in some.values()) > 6
+
+
+@pytest.mark.parametrize("seed", [4, 5])
+def test_tables_and_workers_agree(spark, seed):
+    n, e = sample(seed, 14, 20)
+    nodes, edges = frames(spark, n, e)
+    assert rows(graph.components(nodes, edges, in_worker=0)) == rows(graph.components(nodes, edges))
+    assert rows(graph.strong_components(nodes, edges, in_worker=0)) == rows(graph.strong_components(nodes, edges))
+    assert graph.is_dag(nodes, edges, in_worker=0) == graph.is_dag(nodes, edges)
+    personal = spark.createDataFrame([(n[0], 2.0), (n[1], 1.0), (n[2], -1.0), ("nowhere", 9.0)], "id string, weight double")
+    for kw in ({"max_iter": 4, "tol": 0}, {"max_iter": 4, "tol": 0, "personal": personal}):
+        a, b = ({r.id: r["rank"] for r in graph.pagerank(nodes, edges, in_worker=w, **kw).collect()} for w in (0, 1000))
+        assert set(a) == set(b) == set(n) and all(abs(a[v] - b[v]) < 1e-12 for v in n)
+        assert abs(sum(a.values()) - 1) < 1e-9
+    for far in n[1:6]:
+        a, b = (graph.shortest_path(edges, n[0], far, in_worker=w) for w in (0, 1000))
+        assert a == b
+    with pytest.raises(ValueError):
+        graph.pagerank(nodes, edges, personal=personal.filter("id = 'nowhere'"))
+
+
+def test_long_ways_are_found_and_unfinished_rounds_are_errors(spark):
+    n = [f"c{k:03d}" for k in range(60)]
+    nodes, edges = frames(spark, n, list(zip(n, n[1:])))
+    assert graph.shortest_path(edges, "c000", "c059") == n
+    assert graph.is_dag(nodes, edges) and not graph.is_dag(nodes, edges.unionByName(spark.createDataFrame([("c059", "c000")], "src string, dst string")))
+    assert {r.component for r in graph.components(nodes, edges, in_worker=0).collect()} == {"c000"}
+    with pytest.raises(RuntimeError):
+        graph.components(nodes, edges, max_rounds=1, in_worker=0)
+    assert len(graph._strong_labels(50_000, np.arange(49_999), np.arange(1, 50_000))) == 50_000
+
+
+def test_communities_are_connected_ordered_and_better_than_propagation(spark):
+    r = random.Random(8)
+    groups = [[f"g{g}n{k:02d}" for k in range(12 + 4 * g)] for g in range(4)]
+    e = [tuple(r.sample(g, 2)) for g in groups for _ in range(70)] + [(r.choice(groups[a]), r.choice(groups[b])) for a in range(4) for b in range(4) for _ in range(2)]
+    nodes, edges = frames(spark, [v for g in groups for v in g], sorted(set(e)))
+    c = graph.communities(nodes, edges)
+    got = {x.id: (x.community, x.size) for x in c.collect()}
+    sizes = sorted({v for v in got.values()})
+    assert [k for k, _ in sizes] == list(range(len(sizes))) and [s for _, s in sizes] == sorted((s for _, s in sizes), reverse=True)
+    assert sum(s for _, s in sizes) == len(got)
+    near = {v: set() for v in got}
+    for a, b in e:
+        near[a].add(b)
+        near[b].add(a)
+    for k, size in sizes:
+        members = {v for v, x in got.items() if x[0] == k}
+        seen, work = set(), [min(members)]
+        while work:
+            v = work.pop()
+            if v not in seen:
+                seen.add(v)
+                work += near[v] & members
+        assert seen == members and len(members) == size
+    low = graph.communities(nodes, edges, in_worker=0)
+    assert {x.id for x in low.collect()} == set(got)
+    assert graph.modularity(edges, c).first()[0] >= max(0.4, graph.modularity(edges, low).first()[0])
