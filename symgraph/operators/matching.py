@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from symgraph.core import salted_join
 from symgraph.functions import scalars as S
 
 # The confidence of each tier of reference resolution.
@@ -207,16 +208,19 @@ def link_far(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """Edges whose end is ``__unresolved__:kind:name`` with that end found by name, best kind and least id first.
 
     A name ``Class@method`` is looked up by its class. Ends that no node answers stay as they are,
-    so dangling links can be counted. Edges between known nodes are kept.
+    so dangling links can be counted. Edges between known nodes are kept and take no part in the
+    joins; a name that many edges point at is salted.
     """
     order = [F.struct(F.lit(k).alias("far"), F.lit(kind).alias("kind"), F.lit(p).alias("p")) for k, v in FAR_KINDS.items() for p, kind in enumerate(v.split())]
     dim = nodes.sparkSession.range(1).select(F.explode(F.array(*order)).alias("o")).select("o.*")
     owners = nodes.join(F.broadcast(dim), "kind").groupBy("far", "name").agg(F.min(F.struct("p", "id"))["id"].alias("owner"))  # dim: a fixed table
-    out = edges
+    open_ = F.col("source_id").startswith("__unresolved__:") | F.col("target_id").startswith("__unresolved__:")
+    known, out = edges.filter(~F.coalesce(open_, F.lit(False))), edges.filter(open_)
     for end in ("source_id", "target_id"):
         parts = F.split(end, ":", 3)
         is_far = F.col(end).startswith("__unresolved__:")
         name = F.substring_index(F.element_at(parts, 3), "@", 1)
-        out = out.withColumn("far", F.when(is_far, F.element_at(parts, 2))).withColumn("name", F.when(is_far, name))
-        out = out.join(owners, ["far", "name"], "left").withColumn(end, F.coalesce("owner", end)).drop("far", "name", "owner")
-    return out.select(*edges.columns)
+        near, far = out.filter(~is_far | F.col(end).isNull()), out.filter(is_far).withColumn("far", F.element_at(parts, 2)).withColumn("name", name)
+        far = salted_join(far, owners, ["far", "name"], "left").withColumn(end, F.coalesce("owner", end))
+        out = near.select(*edges.columns).unionByName(far.select(*edges.columns))
+    return known.unionByName(out)

@@ -97,6 +97,12 @@ def set_metadata(metadata: DataFrame, **values: str) -> DataFrame:
     return metadata.join(new.select("key"), "key", "left_anti").unionByName(new)
 
 
+def get_metadata(metadata: DataFrame, key: str) -> str | None:
+    """The value of a key, or null if it was never set."""
+    row = metadata.filter(F.col("key") == key).select("value").first()
+    return row[0] if row else None
+
+
 def export_json(df: DataFrame) -> DataFrame:
     """One JSON text per row."""
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
