@@ -82,7 +82,127 @@ _MASTER["scss"] = _MASTER["css"]
 _REGEX = re.compile(r"/(?:[^/\\\[\n]|\\.|\[(?:[^\]\\\n]|\\.)*\])+/[A-Za-z]*")
 _IDENT = re.compile(r"[\w$]")
 # kinds after which a slash divides and a name can go on; after all others a slash begins a pattern
-_ENDS = frozenset(("I", "N", "S", ")", "]", "}", "V", "c", "this", "super", "G"))
+_ENDS = frozenset(("I", "N", "S", "Q", ")", "]", "}", "V", "c", "this", "super", "G"))
+# Rules of style sheets that say nothing without a name or condition.
+_AT_WITH = frozenset(("@include", "@extend", "@mixin", "@function", "@if", "@each", "@for", "@while", "@return", "@use", "@forward", "@import", "@media", "@supports", "@keyframes", "@namespace"))
+_JSX_NAME = re.compile(r"[A-Za-z_$][\w$.:-]*")
+_JSX_QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+_JSX_GAP = re.compile(r"(?:\s|//[^\n]*|/\*[\s\S]*?\*/)*")
+
+
+def _braces(text: str, k: int) -> int:
+    """The offset after the brace that closes the one at k, or -1."""
+    depth, n = 0, len(text)
+    while k < n:
+        c = text[k]
+        if c == "`":
+            k = _template(text, k)
+            if k < 0:
+                return -1
+            continue
+        if c in "\"'":
+            m = re.compile(r"\"(?:[^\"\\\n]|\\.)*\"|'(?:[^'\\\n]|\\.)*'").match(text, k)
+            k = m.end() if m else k + 1
+            continue
+        if text.startswith("/*", k):
+            k = text.find("*/", k)
+            if k < 0:
+                return -1
+            k += 2
+            continue
+        depth += (c == "{") - (c == "}")
+        k += 1
+        if not depth:
+            return k
+    return -1
+
+
+def _jsx(text: str, k: int, held: list[tuple[int, int]]) -> int:
+    """The offset after the JSX element that begins at k, or -1 if there is none; held: the bounds of the expressions in it."""
+    n = len(text)
+    k += 1
+    m = _JSX_NAME.match(text, k)
+    name = m[0] if m else ""
+    k = m.end() if m else k
+    while True:  # attributes
+        k = _JSX_GAP.match(text, k).end()
+        if k >= n:
+            return -1
+        if text.startswith("/>", k):
+            return k + 2 if name else -1
+        if text[k] == ">":
+            k += 1
+            break
+        if text[k] == "{":
+            end = _braces(text, k)
+            if end < 0 or not text[k + 1 : end - 1].strip().startswith("..."):
+                return -1
+            held.append((k + 1, end - 1))
+            k = end
+            continue
+        m = _JSX_NAME.match(text, k)
+        if not m or not name:
+            return -1
+        k = m.end()
+        at = _JSX_GAP.match(text, k).end()
+        if at < n and text[at] == "=":
+            k = _JSX_GAP.match(text, at + 1).end()
+            m = _JSX_QUOTED.match(text, k)
+            if m:
+                k = m.end()
+            elif k < n and text[k] == "{":
+                end = _braces(text, k)
+                if end < 0:
+                    return -1
+                held.append((k + 1, end - 1))
+                k = end
+            elif k < n and text[k] == "<":
+                k = _jsx(text, k, held)
+                if k < 0:
+                    return -1
+            else:
+                return -1
+    while k < n:  # children
+        c = text[k]
+        if c == "{":
+            end = _braces(text, k)
+            if end < 0:
+                return -1
+            held.append((k + 1, end - 1))
+            k = end
+        elif text.startswith("</", k):
+            end = re.compile(r"</\s*" + re.escape(name) + r"\s*>").match(text, k)
+            return end.end() if end else -1
+        elif c == "<":
+            k = _jsx(text, k, held)
+            if k < 0:
+                return -1
+        elif c in ">}":
+            return -1
+        else:
+            k += 1
+    return -1
+
+
+def _pattern_closes(pattern: str) -> bool:
+    """Whether the groups of a regular expression literal pair up."""
+    depth, inside, k = 0, False, 1
+    while k < len(pattern) - 1:
+        c = pattern[k]
+        if c == "\\":
+            k += 1
+        elif inside:
+            inside = c != "]"
+        elif c == "[":
+            inside = True
+        elif c == "/":
+            break
+        else:
+            depth += (c == "(") - (c == ")")
+            if depth < 0:
+                return False
+        k += 1
+    return not depth
 
 
 def _template(text: str, k: int) -> int:
@@ -171,9 +291,24 @@ def lex(text: str, language: str) -> Tokens:
                 if r:
                     add("S", start)
                     k = r.end()
+                    if not _pattern_closes(r[0]):
+                        faults.append((start, "stray"))
                 else:
                     faults.append((start, "stray"))
                     add("o", start)
+            elif js and s == "<" and not (kinds and kinds[-1] in _ENDS) and (end := _jsx(text, start, held := [])) > 0:
+                # an element is a group of the expressions in it
+                add("(", start)
+                for a, b in held:
+                    part = lex(text[a:b], language)
+                    if part.kinds:
+                        kinds += [*part.kinds, ","]
+                        fresh += [*part.fresh, False]
+                        at += [*(a + x for x in part.at), b]
+                    faults += [(a + x, cause) for x, cause in part.faults]
+                new_line = False
+                add(")", end - 1)
+                k = end
             elif php and s in ("->", "?->", "::"):
                 add(".", start)
             elif php and s == ".":
@@ -182,7 +317,7 @@ def lex(text: str, language: str) -> Tokens:
                 add("." if s == "?." else "::", start)
             elif s == "|":
                 add("bar", start)
-            elif s == "<" and angles and start and (_IDENT.match(text, start - 1) or text[start - 1] == ":"):
+            elif s == "<" and angles and start and (_IDENT.match(text, start - 1) or text[start - 1] == ":" or (js and not (kinds and kinds[-1] in _ENDS))):
                 add("<t", start)
             elif style and s == ":":
                 add(":" if k < n and not text[k].isspace() else "k", start)
@@ -200,7 +335,7 @@ def lex(text: str, language: str) -> Tokens:
             faults.append((start, "stray"))
             add("?bad", start)
         elif group == "var" or group == "life" or group == "interp" or group == "hash" or group == "at" or group == "place":
-            add({"var": "V", "life": "L", "interp": "#{", "hash": "H", "at": "@x", "place": "%x"}[group], start)
+            add("@i" if group == "at" and m[0].lower() in _AT_WITH else {"var": "V", "life": "L", "interp": "#{", "hash": "H", "at": "@x", "place": "%x"}[group], start)
         elif group == "cast":
             add("u", start)
         elif group == "tick":
@@ -208,7 +343,7 @@ def lex(text: str, language: str) -> Tokens:
             if k < 0:
                 faults.append((start, "string"))
                 return out
-            add("S", start)
+            add("Q", start)
         elif group == "ustr":
             faults.append((start, "string"))
             add("S", start)
@@ -289,7 +424,7 @@ def lex_python(text: str) -> tuple[list[Line], list[tuple[int, str]], str]:
             indent = text[text.rfind("\n", 0, start) + 1 : start].replace("\f", "")
         if group == "id":
             member = len(kinds) > 1 and kinds[-1] == "." and kinds[-2] in ("I", "S", "N", ")", "]", "}")
-            kinds.append(m[0] if m[0] in words and not member else "I")
+            kinds.append(m[0] if m[0] in words and not member else "N" if m[0] in ("None", "True", "False") and not member else "I")
         elif group == "op":
             kinds.append(_PY_CLASS.get(m[0], m[0]))
         elif group == "str":

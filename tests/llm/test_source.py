@@ -99,6 +99,69 @@ def test_verdict_edge_cases():
     assert parseability.verdict("(" * 5000, "javascript").edits == 5000
 
 
+# Source that is valid and that a grammar easily takes for invalid, and the other way round.
+VALID_MORE = [
+    ('javascript', 'const a = <div className="x" {...p}>hi {name} <b/>{/* c */}</div>;\n'),
+    ('javascript', 'function A() {\n  return (\n    <ul>\n      {items.map((x) => <li key={x.id}>{x.name}</li>)}\n    </ul>\n  );\n}\n'),
+    ('javascript', 'const b = <>a<C d={1}>{ok ? <X/> : null}</C></>;\n'),
+    ('typescript', 'const a = <Foo x={1}/>;\n'),
+    ('php', '<?php if ($a) { ?>\n<b>x</b>\n<?php } ?>\n'),
+    ('php', '<?php if ($a): ?>\n<b>x</b>\n<?php else: ?>\n<i></i>\n<?php endif; ?>\n'),
+    ('php', '<?php if ($a): ?>x<?php elseif ($b): ?>y<?php else: ?>z<?php endif ?>\n'),
+    ('php', '<ul><?php foreach ($a as $b): ?><li><?= $b ?></li><?php endforeach; ?></ul>\n'),
+    ('php', '<?php if ($a) { ?>a<?php } else { ?>b<?php } ?>'),
+    ('go', 'package a\n\ntype N interface {\n\t~int | ~float64\n}\n\ntype S[T ~int] struct{}\n'),
+    ('typescript', 'export default interface Foo { a: number; }\n'),
+    ('typescript', 'let x = <any>y;\n'),
+    ('typescript', 'const f = <T>(x: T) => x;\n'),
+    ('rust', 'union U { a: u32, b: f32 }\n'),
+    ('css', "* + * > [a^='b' i] { color: red; }\na[b~=c], a[d|='e'], a[f$=g], a[h*='i'] {}\n"),
+    ('javascript', 'a.b = 1; [x, y] = [y, x]; ({a} = b); x[0] += 2; const t = tag`x${1}`; let z;\n'),
+    ('javascript', 'const r = /[(]x\\(/g;\n'),
+    ('typescript', 'declare const x: number;\nconst y = `a${x}` as const;\ntype T = `a${string}`;\n'),
+    ('python', 'a, *b = c\nx.y = z[0] = 1\nfor i, (j, k) in m: pass\n[a, b] = c\n(a, b) = c\nx: int = 3\nf(*a, b=1, **c)\nf(a, *b, c)\ndef f(a, b=1, *, c, d=2, **e): pass\ndef g(a, /, b): pass\nlambda x, y=1: x\nprint(x for x in y)\nf(a=1, *b)\n'),
+    ('scss', '@include a;\n.b { @include c(1); @extend %d; }\n@mixin e { a: b; }\n'),
+    ('javascript', 'label: for (const a of b) { continue label; }\nif (a < b && c > d) {}\n'),
+    ('javascript', 'const x = a < b; const y = a<b; if (x<y) { z() }\n'),
+]
+INVALID_MORE = [
+    ('python', '1 = x\n'),
+    ('python', 'f(a=1, 2)\n'),
+    ('python', 'def f(a=1, b): pass\n'),
+    ('python', "x = f'{a b}'\n"),
+    ('python', 'if a:\n\tb = 1\n        c = 2\n'),
+    ('python', 'f() = 3\n'),
+    ('javascript', '1 = 2;\n'),
+    ('javascript', 'const x;\n'),
+    ('javascript', 'const r = /(/;\n'),
+    ('go', 'func f() {}\n'),
+    ('go', 'package a\nfunc f() {}\nimport "x"\n'),
+    ('scss', '.a { @include ; }\n'),
+    ('typescript', "let x: number = 'a' 'b';\n"),
+    ('javascript', 'const a = <div><b></div>;\n'),
+    ('javascript', 'const a = <div>{x y}</div>;\n'),
+    ('php', '<?php if ($a) { ?> x\n'),
+    ('go', 'package a\ntype N interface { ~ | }\n'),
+]
+
+
+@pytest.mark.parametrize("language, text", VALID_MORE)
+def test_more_valid_source(language, text):
+    assert parseability.verdict(text, language).edits == 0
+
+
+@pytest.mark.parametrize("language, text", INVALID_MORE)
+def test_more_invalid_source(language, text):
+    assert parseability.verdict(text, language).edits > 0
+
+
+def test_a_mismatch_is_what_another_language_reads():
+    text = "package a\n\nimport \"fmt\"\n\ntype T struct {\n\tn int\n}\n\nfunc (t *T) F(x int) int {\n\tfmt.Println(x)\n\tvar y []int = nil\n\treturn len(y) + t.n\n}\n"
+    assert parseability.verdict(text, "go").edits == 0
+    assert parseability.verdict(text, "php").cause is None or parseability.verdict("<?php\n" + text, "php").cause != "mismatch"
+    assert parseability.verdict(text, "javascript").cause == "mismatch"
+
+
 def test_invalid_files_and_rates(spark):
     good, bad = "const a = 1;\n", "const a = ;\n"
     nodes = spark.createDataFrame(
