@@ -29,6 +29,8 @@ KEYWORDS = {k: frozenset(v.split()) for k, v in KEYWORDS.items()}
 
 _NAME = r"[A-Za-z_$\u0080-\U0010ffff][\w$\u0080-\U0010ffff]*"
 _NUM = r"(?:0[xX][\da-fA-F_]+|0[bB][01_]+|0[oO][0-7_]+|(?:\d[\d_]*(?:\.(?!\.)\d*(?:_\d+)*)?|\.\d[\d_]*)(?:[eE][+-]?\d[\d_]*)?)"
+# a dot before a name is a call or a field
+_NUM_RUST = _NUM.replace(r"(?:\.(?!\.)\d*(?:_\d+)*)?", r"(?:\.\d[\d_]*|\.(?![.\w]))?").replace(r"|\.\d[\d_]*)(", ")(")
 _GAP = r"(?P<ws>[ \t\r\f\v ﻿]+)|(?P<nl>\n[ \t\r\n\f]*)"
 _SLASHES = r"|(?P<lc>//[^\n]*)|(?P<bc>/\*(?:[^*]|\*(?!/))*\*/)|(?P<ubc>/\*)"
 
@@ -62,7 +64,7 @@ _MASTER = {
     "go": re.compile(_GAP + _SLASHES + rf"|(?P<str>\"(?:[^\"\\\n]|\\.)*\"|`[^`]*`|'(?:[^'\\\n]|\\.)+')|(?P<ustr>[\"'`])|(?P<num>{_NUM}i?)|(?P<id>{_NAME.replace('$', '')})|(?P<br>[()\[\]{{}}])|(?P<op>{_SIGNS['go']})|(?P<bad>.)"),
     "rust": re.compile(
         _GAP + r"|(?P<lc>//[^\n]*)|(?P<ubc>/\*)"
-        + rf"|(?P<str>(?:b|c|br|cr|r)?\#*\"(?:(?<=\#\")[\s\S]*?\"\#+|(?:[^\"\\]|\\[\s\S])*\")|b?'(?:[^'\\\n]|\\(?:u\{{[^}}]*\}}|x..|.))')|(?P<life>'{_NAME.replace('$', '')})|(?P<ustr>[\"'])|(?P<num>{_NUM}(?:[iuf](?:8|16|32|64|128|size))?)|(?P<id>(?:r\#)?{_NAME.replace('$', '')})|(?P<br>[()\[\]{{}}])|(?P<op>{_SIGNS['rust']})|(?P<bad>.)"
+        + rf"|(?P<str>(?:b|c|br|cr|r)?\#*\"(?:(?<=\#\")[\s\S]*?\"\#+|(?:[^\"\\]|\\[\s\S])*\")|b?'(?:[^'\\\n]|\\(?:u\{{[^}}]*\}}|x..|.))')|(?P<life>'{_NAME.replace('$', '')})|(?P<ustr>[\"'])|(?P<num>{_NUM_RUST}(?:_?[iuf](?:8|16|32|64|128|size))?)|(?P<id>(?:r\#)?{_NAME.replace('$', '')})|(?P<br>[()\[\]{{}}])|(?P<op>{_SIGNS['rust']})|(?P<bad>.)"
     ),
     "python": re.compile(
         r"(?P<ws>(?:[ \t\r\f﻿]|\\\r?\n)+)|(?P<nl>\n)|(?P<lc>\#[^\n]*)"
@@ -317,8 +319,11 @@ def lex(text: str, language: str) -> Tokens:
                 add("." if s == "?." else "::", start)
             elif s == "|":
                 add("bar", start)
-            elif s == "<" and angles and start and (_IDENT.match(text, start - 1) or text[start - 1] == ":" or (js and not (kinds and kinds[-1] in _ENDS))):
+            elif s == "<" and angles and start and (_IDENT.match(text, start - 1) or text[start - 1] == ":" or not (kinds and kinds[-1] in _ENDS)):
                 add("<t", start)
+            elif s == "<<" and language == "rust" and not (kinds and kinds[-1] in _ENDS):
+                add("<t", start)
+                add("<t", start + 1)
             elif style and s == ":":
                 add(":" if k < n and not text[k].isspace() else "k", start)
             else:
