@@ -124,9 +124,11 @@ class EvalIndex:
                         end -= 1
                     taken.append((lo + shift + begin, lo + shift + end))
                     yield taken[-1]
-        # a passage with one word in ten changed has n + 1 words in a row unchanged
-        runs = {s: ks for s, ks in by_shift.items() if any(b - a == 1 for a, b in zip(ks, ks[1:]))}
+        # of a passage's L words L / 10 are changed, each spoiling n n-grams at most: n + 1 words stand
+        # unchanged in a row, and LEAST_WORDS - 2 n + 1 n-grams or more are hit within the band
         band = max(2, len(item) // ONE_IN)
+        near = {s: sum(len(ks) for t, ks in by_shift.items() if abs(t - s) <= band) for s in by_shift}
+        runs = {s: ks for s, ks in by_shift.items() if near[s] > LEAST_WORDS - 2 * self.n and any(b - a == 1 for a, b in zip(ks, ks[1:]))}
         for shift in sorted(runs):
             for k in runs[shift]:
                 if any(a <= k and k + self.n <= b for a, b in taken):
@@ -171,7 +173,7 @@ def _extended(doc: list[str], item: list[str], band: int) -> bytes:
                 best, end = score, (i, c)
         ways.append(way)
         prev = now
-        if max(now) < best - 6 * band:
+        if max(now) < best - 2 * band:  # more edits in a row than any passage has
             break
     (i, c), ops = end, bytearray()
     while i or c > band:
