@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -36,8 +37,10 @@ def bm25(index: DataFrame, terms: list[str], n_docs: int, avg_len: float, prefix
     frequent term's rows are only aggregated, never grouped in one task.
     """
     asked = list(dict.fromkeys(t.lower() for t in terms))
-    hits = [F.when(F.col("term").startswith(q) if prefix else F.col("term") == q, F.lit(q)) for q in asked]
-    h = index.withColumn("q", F.explode(F.array_compact(F.array(*hits)))).groupBy("id", "doc_len", "q").agg(F.sum("tf").alias("tf"))
+    match = [F.col("term").startswith(q) if prefix else F.col("term") == q for q in asked]
+    hits = [F.when(m, F.lit(q)) for m, q in zip(match, asked)]
+    # the filter on terms passes below the count of postings: only tokens that are sought are shuffled
+    h = index.filter(reduce(lambda a, b: a | b, match, F.lit(False))).withColumn("q", F.explode(F.array_compact(F.array(*hits)))).groupBy("id", "doc_len", "q").agg(F.sum("tf").alias("tf"))
     df = F.broadcast(h.groupBy("q").agg(F.count("*").alias("df")))  # as many rows as query terms
     idf = F.greatest(F.log((n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5)), F.lit(1e-6))
     s = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("doc_len") / avg_len))
