@@ -49,6 +49,28 @@ def test_bracket_repair(text, cost):
     assert bracket_repair(text) == cost
 
 
+@pytest.mark.parametrize("text, cost", [("(]" * 150, 150), ("(" * 201 + "]" * 201, 201), ("(" * 101 + "[" + ")" * 100, 2), ("{" * 300 + "(" + "}" * 300 + ")]" + "[" * 5, 8)])
+def test_bracket_repair_is_a_minimum_at_any_length(text, cost):
+    assert bracket_repair(text) == cost
+    assert parseability.verdict(text, "javascript").edits == cost
+
+
+def test_bracket_repair_is_the_whole_chart():
+    def chart(s):
+        best = {(i, i): 0 for i in range(len(s) + 1)}
+        for size in range(1, len(s) + 1):
+            for i in range(len(s) - size + 1):
+                j = i + size
+                pairs_ = [best[i + 1, m] + best[m + 1, j] + ("([{".index(s[i]) != ")]}".index(s[m])) for m in range(i + 1, j) if s[i] in "([{" and s[m] in ")]}"]
+                best[i, j] = min([1 + best[i + 1, j], *pairs_])
+        return best[0, len(s)]
+
+    r = random.Random(4)
+    for _ in range(400):
+        s = "".join(r.choice(r.choice(["()[]", "()[]{}", "([{", ")]}"])) for _ in range(r.randint(0, 32)))
+        assert bracket_repair(s) == chart(s), s
+
+
 VALID = {
     "javascript": "import a, { b as c } from './x';\n// ) {\nexport default class A extends B {\n  #p = 1;\n  static async *go({ x, ...y } = {}, [z] = []) { yield* x?.y ?? `t${`n${1}`}`; }\n}\nfor (const [k, v] of Object.entries(o)) if (/[({]/.test(k)) continue; else break\nlet f = async (x) => ({ ...x, [k]: 1, m() { return 2 } })\nlabel: while (1) { do { i++ } while (i < 3) }\ntry { a } catch { b } finally { c }\nswitch (x) { case 1: case 2: y(); break; default: z() }\n",
     "typescript": "import type { T } from './t';\nexport interface I<A, B extends A = A> extends J { readonly x?: number; f(a: string): void; [k: string]: unknown }\ntype U = { [K in keyof T]: T[K] } | 'a' | (x: number) => Map<string, Array<number>>;\nenum E { A = 1, B }\n@Dec({ a: 1 })\nexport abstract class C<T> implements I<T, T> {\n  private readonly x: number = 1;\n  constructor(private a: A, public b?: B) { super(); }\n  get<T>(k: string): Promise<T[]> { return this.m.get(k)! as unknown as Promise<T[]>; }\n}\nconst g = <T,>(x: T): T => x;\n".replace("const g = <T,>(x: T): T => x;\n", ""),
