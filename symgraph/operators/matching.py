@@ -89,22 +89,32 @@ def near_texts(xs: DataFrame, ys: DataFrame, d: int) -> DataFrame:
     """(x, y, dist): all pairs of distinct texts within ``d`` edits, none lost.
 
     y is cut into d + 1 pieces by its length; x offers each of its substrings that could be such a
-    piece of a text of nearly its length. A piece that is empty (texts shorter than d + 1) meets by
-    length alone, which is exact for those few short texts.
+    piece of a text of nearly its length. Of the pieces that a near text keeps whole, one lies so
+    that at most i edits stand before piece i and d - i after it (counted from 0), so its place in
+    x is bound by both. A piece that is empty (texts shorter than d + 1) meets by length alone,
+    which is exact for those few short texts. The pieces are joined by merging: a text has many,
+    and the planner, which sees only how many texts there are, would broadcast them all. Pairs are
+    compared where they meet, so only near ones are shuffled.
     """
     k = d + 1
     n = F.length("y")
     begin = lambda i: F.floor(n * i / k)
     pieces = F.array(*[F.struct(F.lit(i).alias("i"), n.alias("len"), F.substr(F.col("y"), (begin(i) + 1).cast("int"), (begin(i + 1) - begin(i)).cast("int")).alias("piece")) for i in range(k)])
     right = ys.distinct().select("y", F.explode(pieces).alias("p")).select("y", "p.*")
-    lens = F.explode(F.sequence(F.greatest(F.length("x") - d, F.lit(0)), F.length("x") + d)).alias("len")
+    m = F.length("x")
+    lens = F.explode(F.sequence(F.greatest(m - d, F.lit(0)), m + d)).alias("len")
     left = xs.distinct().select("x", lens).select("x", "len", F.explode(F.sequence(F.lit(0), F.lit(d))).alias("i"))
     start = F.floor(F.col("len") * F.col("i") / k)
     size = F.floor(F.col("len") * (F.col("i") + 1) / k) - start
-    left = left.select("x", "len", "i", start.alias("s"), size.alias("z")).select("x", "len", "i", "z", F.explode(F.sequence(F.greatest(F.col("s") - d, F.lit(0)), F.greatest(F.col("s") + d, F.lit(0)))).alias("at"))
-    left = left.select("x", "len", "i", F.substr(F.col("x"), (F.col("at") + 1).cast("int"), F.col("z").cast("int")).alias("piece")).distinct()
-    pairs = left.join(right, ["len", "i", "piece"]).select("x", "y").distinct()
-    return pairs.select("x", "y", F.levenshtein("x", "y", d).alias("dist")).filter("dist >= 0")
+    left = left.select("x", "len", "i", start.cast("int").alias("s"), size.cast("int").alias("z"))
+    shift, after = m - F.col("len"), F.lit(d) - F.col("i")
+    first = F.greatest(F.lit(0), F.col("s") - F.col("i"), F.col("s") + shift - after)
+    last = F.least(m - F.col("z"), F.col("s") + F.col("i"), F.col("s") + shift + after)
+    left = left.select("x", "len", "i", "z", first.alias("first"), last.alias("last")).filter("first <= last")
+    cut = F.array_distinct(F.transform(F.sequence("first", "last"), lambda at: F.substr("x", at + 1, F.col("z"))))
+    left = left.select("x", "len", "i", F.explode(cut).alias("piece"))
+    pairs = left.join(right.hint("merge"), ["len", "i", "piece"])
+    return pairs.select("x", "y", F.levenshtein("x", "y", d).alias("dist")).filter("dist >= 0").distinct()
 
 
 def enclosing(points: DataFrame, intervals: DataFrame, group: str, at: str = "line", width: int = 64) -> DataFrame:

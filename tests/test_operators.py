@@ -1,4 +1,5 @@
 import datetime as dt
+import random
 
 from pyspark.sql import functions as F
 
@@ -39,6 +40,36 @@ def test_near_texts_loses_nothing(spark):
     assert got == {(x, y): lev(x, y) for x in xs for y in ys if lev(x, y) <= 3}
 
 
+def _edits(a, b):
+    d = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        p, d = d, [i]
+        for j, y in enumerate(b, 1):
+            d.append(min(p[j] + 1, d[-1] + 1, p[j - 1] + (x != y)))
+    return d[-1]
+
+
+def test_near_texts_of_any_length_and_distance(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abé") for _ in range(r.randrange(15)))
+    df = lambda v, c: spark.createDataFrame([(x,) for x in v], f"{c} string")
+    xs, ys = [*{word() for _ in range(90)}, None], [*{word() for _ in range(90)}, None]
+    for d in (0, 1, 2, 3):
+        got = [tuple(x) for x in matching.near_texts(df(xs, "x"), df(ys, "y"), d).collect()]
+        assert len(got) == len(set(got)) and set(got) == {(x, y, _edits(x, y)) for x in xs[:-1] for y in ys[:-1] if _edits(x, y) <= d}
+
+
+def test_near_texts_broadcasts_no_pieces(spark, tmp_path):
+    """The planner counts the texts, not their pieces, and sent the pieces of few texts to the driver to broadcast them."""
+    for c, k in (("x", 7), ("y", 11)):
+        spark.range(100).select(F.md5((F.col("id") * k).cast("string")).alias(c)).write.parquet(str(tmp_path / c))
+    near = matching.near_texts(*(spark.read.parquet(str(tmp_path / c)) for c in "xy"), 3)
+    near.write.parquet(str(tmp_path / "out"))
+    near.collect()
+    plan = near._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in plan and "SortMergeJoin" in plan.split("Initial Plan")[0] and "BroadcastExchange" not in plan.split("Initial Plan")[0]
+
+
 def test_match_calls(spark):
     e = spark.createDataFrame([("e1", "GET", "/users/{id}"), ("e2", "POST", "/users"), ("e3", "ANY", "/a/b/c/d"), ("e4", "GET", "/orders/list/all")], "endpoint_id string, method string, path string")
     c = spark.createDataFrame([("exact", "POST", "/users?x=1", 1.0), ("param", "GET", "/users/${id}", 0.8), ("prefix", "GET", "https://h/a/b/c", 1.0), ("fuzzy", "UNKNOWN", "/orders/lists/all", 1.0), ("verb", "PUT", "/users", 1.0), ("none", "GET", "/zzz", 1.0)], "call_id string, method string, url string, confidence double")
